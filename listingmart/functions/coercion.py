@@ -8,15 +8,14 @@ from pyspark.sql import types as T
 
 from listingmart.schema import SENTINEL
 
-# All Unicode blanks plus the four ASCII separators that Python also strips.
-BLANK_CHARS = (
-    " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
-    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-)
-BLANKS = f"[{BLANK_CHARS}]+"
+# Unicode blanks plus the four ASCII separators that Python also takes for blanks.
+BLANKS = r"(?U)[\s\x1c-\x1f]+"
 
-NUMERIC_TEXT = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
-INFINITE_TEXT = r"^(?i)\s*[+-]?inf(inity)?\s*$"
+# Plain decimal numbers and infinity. Without this guard a cast would also take Java's "1.0d".
+NUMBER = (
+    r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+    r"|^\s*[+-]?[iI][nN][fF]([iI][nN][iI][tT][yY])?\s*$"
+)
 
 # Spellings of yes and no, compared in lower case.
 TRUE_WORDS = ("true", "1", "1.0", "yes", "y", "t")
@@ -29,18 +28,19 @@ MISSING_TEXTS = (
 )
 
 
-def strip_blanks(c: Column) -> Column:
-    return F.trim(c, F.lit(BLANK_CHARS))
+def squeeze(c: Column) -> Column:
+    """Collapse every run of blanks to one space and strip the ends."""
+    return F.trim(F.regexp_replace(c.cast("string"), BLANKS, " "))
 
 
 def normalize_city(c: Column) -> Column:
     """Strip, lower-case and collapse inner blanks to one."""
-    return F.regexp_replace(F.lower(strip_blanks(c.cast("string"))), BLANKS, " ")
+    return squeeze(F.lower(c.cast("string")))
 
 
 def slug(c: Column) -> Column:
     """Strip, lower-case and join words with an underscore."""
-    return F.regexp_replace(F.lower(strip_blanks(c.cast("string"))), BLANKS, "_")
+    return F.replace(normalize_city(c), F.lit(" "), F.lit("_"))
 
 
 def missing_to_null(c: Column) -> Column:
@@ -50,9 +50,7 @@ def missing_to_null(c: Column) -> Column:
 def to_number(c: Column, dtype: T.DataType) -> Column:
     """Double value of a column; text that is not a plain number, and NaN, become null."""
     if isinstance(dtype, T.StringType):
-        parsed = c.try_cast("double")
-        finite = F.abs(parsed) < float("inf")
-        return F.when((finite & c.rlike(NUMERIC_TEXT)) | c.rlike(INFINITE_TEXT), parsed)
+        return F.when(c.rlike(NUMBER), c.try_cast("double"))
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         return F.nullif(c.cast("double"), F.lit(float("nan")))
     if isinstance(dtype, (T.NumericType, T.BooleanType)):
@@ -75,7 +73,7 @@ def to_boolean(c: Column, dtype: T.DataType) -> Column:
         return c
     if isinstance(dtype, T.NumericType):
         return F.when(c == 1, True).when(c == 0, False)
-    word = F.lower(strip_blanks(c.cast("string")))
+    word = F.lower(squeeze(c))
     return F.when(word.isin(*TRUE_WORDS), True).when(word.isin(*FALSE_WORDS), False)
 
 

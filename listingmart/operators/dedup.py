@@ -28,13 +28,6 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> D
     )
 
 
-def _descending(df: DataFrame, columns: Sequence[str]) -> list[Column]:
-    order = [F.desc_nulls_last(c) for c in columns]
-    if "listing_id" in df.columns:
-        order.append(F.asc("listing_id"))
-    return order
-
-
 def deduplicate_within_month(
     df: DataFrame,
     *,
@@ -47,7 +40,10 @@ def deduplicate_within_month(
     missing = sorted({fingerprint_col, month_col} - set(df.columns))
     if missing:
         raise ValueError(f"Missing required columns for within-month deduplication: {missing}")
-    return keep_first(df, [fingerprint_col, month_col], _descending(df, sort_cols))
+    order = [F.desc_nulls_last(c) for c in sort_cols]
+    if "listing_id" in df.columns:
+        order.append(F.asc("listing_id"))
+    return keep_first(df, [fingerprint_col, month_col], order)
 
 
 def within_month_removed(
@@ -65,7 +61,10 @@ def within_month_removed(
     )
 
 
-def one_row_per_property(df: DataFrame, *, fingerprint_col: str = FINGERPRINT) -> DataFrame:
+def one_row_per_property(
+    df: DataFrame, *, keys: Sequence[str] = (FINGERPRINT,), month_col: str = "month"
+) -> DataFrame:
     """Static table: the latest month of every property, highest price first on ties."""
-    known = df.filter(F.col(fingerprint_col).isNotNull())
-    return keep_first(known, [fingerprint_col], _descending(df, ["month", "price"]))
+    known = df.dropna(subset=list(keys))
+    order = [F.desc_nulls_last(month_col), F.desc_nulls_last("price"), F.asc("listing_id")]
+    return keep_first(known, keys, order)
