@@ -38,14 +38,16 @@ def rows(names: list[str], table: list[tuple]) -> list[tuple]:
     return sorted((tuple(canonical(r[i]) for i in order) for r in table), key=repr)
 
 
-def differences(spark_df, con: duckdb.DuckDBPyConnection, sql: str) -> list[str]:
+def differences(
+    columns: list[str], collected: list[tuple], con: duckdb.DuckDBPyConnection, sql: str
+) -> list[str]:
     """Empty when columns and rows agree."""
     cursor = con.execute(sql)
     names = [d[0] for d in cursor.description]
     expected = rows(names, cursor.fetchall())
-    if sorted(spark_df.columns) != sorted(names):
-        return [f"columns {sorted(spark_df.columns)} != {sorted(names)}"]
-    found = rows(spark_df.columns, [tuple(r) for r in spark_df.collect()])
+    if sorted(columns) != sorted(names):
+        return [f"columns {sorted(columns)} != {sorted(names)}"]
+    found = rows(columns, collected)
     if len(found) != len(expected):
         return [f"{len(found)} rows, expected {len(expected)}"]
     wrong = [(a, b) for a, b in zip(found, expected) if a != b]
@@ -60,13 +62,16 @@ def main(sf_dir: str, names: list[str]) -> int:
     for name, query in queries.registered().items():
         if names and name not in names:
             continue
-        start = time.time()
+        start, took = time.time(), 0.0
         try:
-            problems = differences(query(spark, sf_dir), con, sql[name])
+            df = query(spark, sf_dir)
+            collected = [tuple(r) for r in df.collect()]
+            took = time.time() - start
+            problems = differences(df.columns, collected, con, sql[name])
         except Exception as error:  # report and go on with the next query
             problems = [f"{type(error).__name__}: {str(error)[:600]}"]
         failed += bool(problems)
-        print(f"{'FAIL' if problems else 'ok  '} {time.time() - start:6.2f}s {name} {' '.join(problems)}", flush=True)
+        print(f"{'FAIL' if problems else 'ok  '} {took:6.2f}s {name} {' '.join(problems)}", flush=True)
     print(f"{failed} failed")
     return failed
 

@@ -104,7 +104,7 @@ rent AS (SELECT * FROM binned WHERE market = 'rent')
 
 
 def r6(expression: str, name: str) -> str:
-    return f"round({expression}, 6) AS {name}"
+    return f"round_even(({expression}) * 1000000, 0) / 1000000 AS {name}"
 
 
 def listing(source: str, where: str = "true") -> str:
@@ -272,10 +272,10 @@ def repeat_groups(source: str, key: str = "property_fingerprint") -> str:
 REPEAT_STATS = """ SELECT CAST(sum(n_records) AS BIGINT) AS total_records, count(*) AS total_fingerprints,
   count(*) FILTER (n_records > 1) AS repeating_fingerprints,
   CAST(coalesce(sum(n_records) FILTER (n_records > 1), 0) AS BIGINT) AS repeating_records,
-  round(coalesce(sum(n_records) FILTER (n_records > 1), 0) / sum(n_records), 6) AS repeating_records_share,
+  round_even(coalesce(sum(n_records) FILTER (n_records > 1), 0) / sum(n_records) * 1000000, 0) / 1000000 AS repeating_records_share,
   count(*) FILTER (n_months > 1) AS multi_month_fingerprints,
   CAST(coalesce(sum(n_records) FILTER (n_months > 1), 0) AS BIGINT) AS multi_month_records,
-  round(coalesce(sum(n_records) FILTER (n_months > 1), 0) / sum(n_records), 6) AS multi_month_records_share FROM g"""
+  round_even(coalesce(sum(n_records) FILTER (n_months > 1), 0) / sum(n_records) * 1000000, 0) / 1000000 AS multi_month_records_share FROM g"""
 
 COMPLETE = "month IS NOT NULL AND price IS NOT NULL AND area_m2 IS NOT NULL AND city IS NOT NULL AND listing_type IS NOT NULL AND market IS NOT NULL"
 POSITIVE = f"{COMPLETE} AND price > 0 AND area_m2 > 0"
@@ -351,11 +351,10 @@ def statements() -> dict[str, str]:
         "kpi": f""" SELECT count(*) AS n_listings, {r6(q("price_per_m2", 0.5), "median_price_per_m2")},
           {r6(q("price", 0.5), "median_price")}, {r6("avg(area_m2)", "avg_area_m2")} FROM sale""",
         "kpi_trend": trend_rows(),
-        "histogram": CLIPPED_SALE + f""", span AS (SELECT min(v) AS lo, (max(v) - min(v)) / {HISTOGRAM_BINS}.0 AS w FROM c)
-          SELECT CAST(least({HISTOGRAM_BINS - 1}, floor((v - lo) / w)) AS BIGINT) AS bin,
-            round(any_value(lo) + least({HISTOGRAM_BINS - 1}, floor((any_value(v) - any_value(lo)) / any_value(w))) * any_value(w), 6) AS bin_lo,
-            round(any_value(lo) + (least({HISTOGRAM_BINS - 1}, floor((any_value(v) - any_value(lo)) / any_value(w))) + 1) * any_value(w), 6) AS bin_hi,
-            count(*) AS n FROM c, span GROUP BY 1""",
+        "histogram": CLIPPED_SALE + f""", span AS (SELECT min(v) AS lo, (max(v) - min(v)) / {HISTOGRAM_BINS}.0 AS w FROM c),
+          h AS (SELECT least({HISTOGRAM_BINS - 1}, floor((v - lo) / w)) AS bin, any_value(lo) AS lo, any_value(w) AS w, count(*) AS n
+            FROM c, span GROUP BY 1)
+          SELECT CAST(bin AS BIGINT) AS bin, {r6("lo + bin * w", "bin_lo")}, {r6("lo + (bin + 1) * w", "bin_hi")}, n FROM h""",
         "histogram_median": CLIPPED_SALE + f" SELECT count(*) AS n, {r6(q('v', 0.5), 'median')} FROM c",
         "box_overall": CLIPPED_SALE + boxes("'price_per_m2'", "c", 0, 'k AS "column"'),
         "box_outliers": f""", l AS (SELECT {q("price", 0.25)} AS p25, {q("price", 0.75)} AS p75 FROM rent)

@@ -44,12 +44,8 @@ class Fixture:
     """Stored tables of one data folder: the long table and the static tables."""
 
     folder: str
-
-    def long(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.folder}/listings_long.parquet")
-
-    def static(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.folder}/listings_static.parquet")
+    long: DataFrame
+    static: DataFrame
 
 
 _layers: dict[str, DistrictLayer] = {}
@@ -70,21 +66,20 @@ def fixture(spark: SparkSession, sf_dir: str) -> Fixture:
     if key not in _fixtures:
         folder = f"{work_folder(spark)}/listings-{uuid.uuid4().hex}"
         path = store_long_table(raw_listings(spark, sf_dir), layer(spark), folder)
-        static = dedup.one_row_per_property(
-            spark.read.parquet(path), keys=("market", dedup.FINGERPRINT)
-        )
-        save_processed(static, folder, "listings_static", partition_by=("market",))
-        _fixtures[key] = Fixture(folder)
+        long = spark.read.parquet(path)
+        static = dedup.one_row_per_property(long, keys=("market", dedup.FINGERPRINT))
+        static_path = save_processed(static, folder, "listings_static", partition_by=("market",))
+        _fixtures[key] = Fixture(folder, long, spark.read.parquet(static_path))
     return _fixtures[key]
 
 
 def long_table(spark: SparkSession, sf_dir: str, market: str | None = None) -> DataFrame:
-    df = fixture(spark, sf_dir).long(spark)
+    df = fixture(spark, sf_dir).long
     return marts.of_market(df, market) if market else df
 
 
 def static_table(spark: SparkSession, sf_dir: str, market: str | None = None) -> DataFrame:
-    df = fixture(spark, sf_dir).static(spark)
+    df = fixture(spark, sf_dir).static
     return marts.of_market(df, market) if market else df
 
 
@@ -99,16 +94,16 @@ def located(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to six digits and whole numbers to bigint, as the SQL side has them."""
+    """Doubles to six digits (ties to even) and whole numbers to bigint, as the SQL side has them."""
     out = []
     for f in df.schema.fields:
-        c = F.col(f.name)
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), 6)
+            out.append(f"rint(cast(`{f.name}` AS double) * 1e6D) / 1e6D AS `{f.name}`")
         elif isinstance(f.dataType, T.IntegralType):
-            c = c.cast("bigint")
-        out.append(c.alias(f.name))
-    return df.select(*out)
+            out.append(f"cast(`{f.name}` AS bigint) AS `{f.name}`")
+        else:
+            out.append(f"`{f.name}`")
+    return df.selectExpr(*out)
 
 
 LISTING = ("listing_id", "market", "month", "city", "listing_type", "district", "area_m2", "price", "price_per_m2")
@@ -164,7 +159,7 @@ def q_dedup_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_districts(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = raw_listings(spark, sf_dir)
-    points = raw.select("listing_id", *(to_number(F.col(c), raw.schema[c].dataType).alias(c) for c in ("lat", "lon")))
+    points = raw.select("listing_id", *(to_number(c, raw.schema[c].dataType).alias(c) for c in ("lat", "lon")))
     return assign_district(points, layer(spark)).select("listing_id", "district")
 
 

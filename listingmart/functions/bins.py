@@ -22,33 +22,34 @@ BINS: dict[str, tuple[Sequence[int], Sequence[str]]] = {
 }
 
 
-def bin_ordinal(c: Column, edges: Sequence[int]) -> Column:
-    """Zero-based bin number, null for null."""
-    out = F.when(c <= edges[0], 0)
-    for i, edge in enumerate(edges[1:], start=1):
-        out = out.when(c <= edge, i)
-    return out.when(c > edges[-1], len(edges))
+def bin_ordinal(column: str) -> Column:
+    """Zero-based bin number of a binned column, null for null."""
+    edges, _ = BINS[column]
+    whens = " ".join(f"WHEN `{column}` <= {edge} THEN {i}" for i, edge in enumerate(edges))
+    return F.expr(f"CASE {whens} WHEN `{column}` > {edges[-1]} THEN {len(edges)} END")
 
 
-def bin_label(ordinal: Column, labels: Sequence[str]) -> Column:
-    return F.when(ordinal.isNotNull(), F.element_at(F.array(*map(F.lit, labels)), ordinal + 1))
+def bin_label(column: str) -> Column:
+    edges, labels = BINS[column]
+    whens = " ".join(f"WHEN `{column}` <= {edge} THEN '{label}'" for edge, label in zip(edges, labels))
+    return F.expr(f"CASE {whens} WHEN `{column}` > {edges[-1]} THEN '{labels[-1]}' END")
 
 
 def add_bin(df: DataFrame, column: str) -> DataFrame:
     """Append ``<column>_bin`` and its sort key ``<column>_bin_ord``; no-op without the column."""
     if column not in df.columns:
         return df
-    edges, labels = BINS[column]
-    ordinal = bin_ordinal(F.col(column), edges)
     return df.withColumns(
-        {f"{column}_bin": bin_label(ordinal, labels), f"{column}_bin_ord": ordinal}
+        {f"{column}_bin": bin_label(column), f"{column}_bin_ord": bin_ordinal(column)}
     )
 
 
 def add_bins(df: DataFrame) -> DataFrame:
-    for column in BINS:
-        df = add_bin(df, column)
-    return df
+    """All bins of the columns that exist."""
+    present = [c for c in BINS if c in df.columns]
+    return df.withColumns(
+        {f"{c}_bin": bin_label(c) for c in present} | {f"{c}_bin_ord": bin_ordinal(c) for c in present}
+    )
 
 
 def natural_order(category: str) -> Sequence[str] | None:

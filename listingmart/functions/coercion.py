@@ -47,37 +47,38 @@ def missing_to_null(c: Column) -> Column:
     return F.when(~c.isin(*MISSING_TEXTS), c)
 
 
-def to_number(c: Column, dtype: T.DataType) -> Column:
+def to_number(column: str, dtype: T.DataType) -> Column:
     """Double value of a column; text that is not a plain number, and NaN, become null."""
     if isinstance(dtype, T.StringType):
-        return F.when(c.rlike(NUMBER), c.try_cast("double"))
+        return F.expr(f"if(`{column}` RLIKE r'{NUMBER}', try_cast(`{column}` AS double), NULL)")
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        return F.nullif(c.cast("double"), F.lit(float("nan")))
+        return F.expr(f"nullif(cast(`{column}` AS double), double('NaN'))")
     if isinstance(dtype, (T.NumericType, T.BooleanType)):
-        return c.cast("double")
+        return F.expr(f"cast(`{column}` AS double)")
     return F.lit(None).cast("double")
 
 
-def to_whole_number(c: Column, dtype: T.DataType) -> Column:
+def to_whole_number(column: str, dtype: T.DataType) -> Column:
     """Double value with the "unknown" sentinel replaced by null."""
-    return F.nullif(to_number(c, dtype), F.lit(SENTINEL))
+    return F.nullif(to_number(column, dtype), F.lit(SENTINEL))
 
 
-def to_int(c: Column) -> Column:
-    """Integer nearest to a double (ties to even); out of range becomes null."""
-    return F.rint(F.nullif(c, F.lit(SENTINEL))).try_cast("int")
+def to_int(column: str) -> Column:
+    """Integer nearest to a double (ties to even); the sentinel and values out of range become null."""
+    return F.expr(f"try_cast(rint(nullif(`{column}`, {SENTINEL!r}D)) AS int)")
 
 
-def to_boolean(c: Column, dtype: T.DataType) -> Column:
+def to_boolean(column: str, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.BooleanType):
-        return c
+        return F.col(column)
     if isinstance(dtype, T.NumericType):
-        return F.when(c == 1, True).when(c == 0, False)
-    word = F.lower(squeeze(c))
+        return F.expr(f"CASE `{column}` WHEN 1 THEN true WHEN 0 THEN false END")
+    word = F.lower(squeeze(F.col(column)))
     return F.when(word.isin(*TRUE_WORDS), True).when(word.isin(*FALSE_WORDS), False)
 
 
-def to_month(c: Column, dtype: T.DataType) -> Column:
+def to_month(column: str, dtype: T.DataType) -> Column:
+    c = F.col(column)
     if isinstance(dtype, T.DateType):
         return c
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):

@@ -31,18 +31,18 @@ def coerce_types(df: DataFrame) -> DataFrame:
     stay double here, because the fingerprint is made of the double."""
     types = {f.name: f.dataType for f in df.schema.fields}
     typed = {
-        "month": coercion.to_month(F.col("month"), types["month"]),
+        "month": coercion.to_month("month", types["month"]),
         "city": coercion.normalize_city(F.col("city")),
     }
     for c in ("price", "area_m2", *FLOAT_COLUMNS):
         if c in types:
-            typed[c] = coercion.to_number(F.col(c), types[c])
+            typed[c] = coercion.to_number(c, types[c])
     for c in INTEGER_COLUMNS:
         if c in types:
-            typed[c] = coercion.to_whole_number(F.col(c), types[c])
+            typed[c] = coercion.to_whole_number(c, types[c])
     for c in AMENITY_COLUMNS:
         if c in types:
-            typed[c] = coercion.to_boolean(F.col(c), types[c])
+            typed[c] = coercion.to_boolean(c, types[c])
     return df.withColumns(typed)
 
 
@@ -63,11 +63,10 @@ def add_price_per_m2(df: DataFrame) -> DataFrame:
 
 def cast_integers(df: DataFrame) -> DataFrame:
     """Store whole-number columns as nullable integers."""
-    present = [c for c in INTEGER_COLUMNS if c in df.columns]
     types = {f.name: f.dataType for f in df.schema.fields}
-    return df.withColumns(
-        {c: coercion.to_int(coercion.to_number(F.col(c), types[c])) for c in present}
-    )
+    present = [c for c in INTEGER_COLUMNS if c in types]
+    numbers = df.withColumns({c: coercion.to_number(c, types[c]) for c in present})
+    return numbers.withColumns({c: coercion.to_int(c) for c in present})
 
 
 def locate_and_key(

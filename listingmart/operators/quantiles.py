@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Buckets per unit of natural logarithm: one bucket spans about 0.012 % of its values' size.
@@ -24,27 +24,33 @@ NULL_BUCKET = -10 * LOG_SPAN
 MAX_BROADCAST_TARGETS = 100_000
 
 
-def coarse_bucket(v: Column) -> Column:
-    """Bucket number that never decreases as ``v`` grows; at most 24 million different ones."""
+def coarse_bucket(v: str) -> str:
+    """SQL of a bucket number that never decreases as ``v`` grows; at most 24 million different."""
 
-    def magnitude(positive: Column) -> Column:
-        step = F.least(F.ln(positive) * BUCKETS_PER_LOG_UNIT, F.lit(float(LOG_SPAN)))
-        return F.floor(step).cast("long") + 2 * LOG_SPAN
+    def magnitude(positive: str) -> str:
+        return f"cast(floor(least(ln({positive}) * {BUCKETS_PER_LOG_UNIT}, {LOG_SPAN}D)) AS bigint) + {2 * LOG_SPAN}"
 
-    return F.coalesce(
-        F.when(v > 0, magnitude(v)).when(v < 0, -magnitude(-v)).when(v == 0, F.lit(0).cast("long")),
-        F.lit(NULL_BUCKET).cast("long"),
+    # Never null, so that the join below adds no null filter that would make its scan a second one.
+    return (
+        f"coalesce(CASE WHEN {v} > 0 THEN {magnitude(v)} WHEN {v} < 0 THEN -({magnitude('-' + v)}) "
+        f"WHEN {v} = 0 THEN 0L END, {NULL_BUCKET}L)"
     )
 
 
 def value_histogram(
-    df: DataFrame, values: Mapping[str, Column], keys: Sequence[str] = ()
+    df: DataFrame, values: Mapping[str, Column | str], keys: Sequence[str] = ()
 ) -> DataFrame:
     """``keys, metric, v, n``: how often each distinct value occurs. Rows with a null key drop out."""
     df = df.dropna(subset=list(keys)) if keys else df
-    pairs = [c for name, v in values.items() for c in (F.lit(name), v.cast("double"))]
-    narrow = df.select(*keys, F.stack(F.lit(len(values)), *pairs).alias("metric", "v"))
-    return narrow.groupBy(*keys, "metric", "v").agg(F.count(F.lit(1)).alias("n"))
+    columns = [F.col(v) if isinstance(v, str) else v for v in values.values()]
+    narrow = df.select(*keys, *(c.alias(f"_v{i}") for i, c in enumerate(columns)))
+    pairs = ", ".join(f"'{name}', cast(_v{i} AS double)" for i, name in enumerate(values))
+    long = narrow.selectExpr(*quoted(keys), f"stack({len(columns)}, {pairs}) AS (metric, v)")
+    return long.groupBy(*keys, "metric", "v").agg(F.expr("count(1) AS n"))
+
+
+def quoted(names: Sequence[str]) -> list[str]:
+    return [f"`{name}`" for name in names]
 
 
 def histogram_quantiles(
@@ -60,80 +66,72 @@ def histogram_quantiles(
     ``max_groups`` is a bound on the number of groups that the caller can prove; with it the rank
     targets may be broadcast, without it they are joined by shuffle.
     """
-    keys = list(keys)
-    weight = F.when(F.col("v").isNull(), F.lit(0)).otherwise(F.col("n"))
-    fine = hist.select(*keys, "v", "n", coarse_bucket(F.col("v")).alias("bucket"))
-
+    names = quoted(keys)
+    group = f"PARTITION BY {', '.join(names)}"
+    low = {name: f"cast(floor((total - 1) * {float(p)!r}D) AS bigint)" for name, p in probs.items()}
+    high = {name: f"cast(ceil((total - 1) * {float(p)!r}D) AS bigint)" for name, p in probs.items()}
+    ranks = dict.fromkeys((*low.values(), *high.values()))
+
+    # ``w`` is the number of non-null values behind a histogram row.
+    fine = hist.selectExpr(
+        *names, "v", "n", "if(v IS NULL, 0L, n) AS w", f"{coarse_bucket('v')} AS bucket"
+    )
     coarse = fine.groupBy(*keys, "bucket").agg(
-        F.sum("n").alias("b_rows"),
-        F.sum(weight).alias("b_n"),
-        F.sum(F.col("v") * F.col("n")).alias("b_sum"),
-        F.min("v").alias("b_min"),
-        F.max("v").alias("b_max"),
+        F.expr("sum(n) AS b_rows"),
+        F.expr("sum(w) AS b_n"),
+        F.expr("sum(v * n) AS b_sum"),
+        F.expr("min(v) AS b_min"),
+        F.expr("max(v) AS b_max"),
     )
-    group = Window.partitionBy(*keys)
-    upto = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = coarse.select(
-        *keys,
+    ranked = coarse.selectExpr(
+        *names,
         "bucket",
-        (F.sum("b_n").over(upto) - F.col("b_n")).alias("before"),
-        F.sum("b_n").over(upto).alias("through"),
-        F.sum("b_rows").over(group).alias("n_rows"),
-        F.sum("b_n").over(group).alias("total"),
-        F.sum("b_sum").over(group).alias("total_sum"),
-        F.min("b_min").over(group).alias("min"),
-        F.max("b_max").over(group).alias("max"),
+        "b_n",
+        f"sum(b_n) OVER ({group} ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS through",
+        f"sum(b_rows) OVER ({group}) AS n_rows",
+        f"sum(b_n) OVER ({group}) AS total",
+        f"sum(b_sum) OVER ({group}) AS total_sum",
+        f"min(b_min) OVER ({group}) AS min",
+        f"max(b_max) OVER ({group}) AS max",
+    )
+    holds_rank = " OR ".join(f"({r} >= through - b_n AND {r} < through)" for r in ranks)
+    stats = ("n_rows", "total", "total_sum", "min", "max")
+    targets = ranked.filter(f"total = 0 OR {holds_rank}").selectExpr(
+        *names, "bucket", "through - b_n AS before", *stats
     )
-
-    position = {name: (F.col("total") - 1) * F.lit(float(p)) for name, p in probs.items()}
-    low = {name: F.floor(h).cast("long") for name, h in position.items()}
-    high = {name: F.ceil(h).cast("long") for name, h in position.items()}
-
-    wanted = F.col("total") == 0
-    for rank in (*low.values(), *high.values()):
-        wanted = wanted | ((rank >= F.col("before")) & (rank < F.col("through")))
-    targets = ranked.filter(wanted).drop("through")
     if max_groups is not None and max_groups * (2 * len(probs) + 1) <= MAX_BROADCAST_TARGETS:
         targets = F.broadcast(targets)
 
-    inside = Window.partitionBy(*keys, "bucket").orderBy("v").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    placed = (
-        fine.join(targets, [*keys, "bucket"])
-        .withColumn("through", F.col("before") + F.sum(weight).over(inside))
-        .withColumn("first", F.col("through") - weight)
+    inside = f"{group}, bucket ORDER BY v ROWS UNBOUNDED PRECEDING"
+    placed = fine.join(targets, [*keys, "bucket"]).selectExpr(
+        *names, *stats, "v", "w", f"before + sum(w) OVER ({inside}) AS through"
     )
-
-    def value_at(rank: Column) -> Column:
-        return F.max(F.when((rank >= F.col("first")) & (rank < F.col("through")), F.col("v")))
-
-    stats = ("n_rows", "total", "total_sum", "min", "max")
+    at_rank = [f"max(if({r} >= through - w AND {r} < through, v, NULL)) AS at{i}" for i, r in enumerate(ranks)]
     picked = placed.groupBy(*keys).agg(
-        *(F.max(s).alias(s) for s in stats),
-        *(value_at(low[name]).alias(f"low_{name}") for name in probs),
-        *(value_at(high[name]).alias(f"high_{name}") for name in probs),
+        *(F.expr(e) for e in (*(f"max({s}) AS {s}" for s in stats), *at_rank))
     )
 
-    def interpolated(name: str) -> Column:
-        lo, hi = F.col(f"low_{name}"), F.col(f"high_{name}")
-        share = position[name] - low[name]
-        return F.when(lo == hi, lo).otherwise(lo + (hi - lo) * share)
+    column = {r: f"at{i}" for i, r in enumerate(ranks)}
+
+    def interpolated(name: str) -> str:
+        lo, hi = column[low[name]], column[high[name]]
+        share = f"((total - 1) * {float(probs[name])!r}D - {low[name]})"
+        return f"if({lo} = {hi}, {lo}, {lo} + ({hi} - {lo}) * {share}) AS `{name}`"
 
-    return picked.select(
-        *keys,
+    return picked.selectExpr(
+        *names,
         "n_rows",
-        F.col("total").alias("n"),
-        F.try_divide(F.col("total_sum"), F.col("total")).alias("mean"),
+        "total AS n",
+        "try_divide(total_sum, total) AS mean",
         "min",
         "max",
-        *(interpolated(name).alias(name) for name in probs),
+        *(interpolated(name) for name in probs),
     )
 
 
 def quantiles(
     df: DataFrame,
-    values: Mapping[str, Column],
+    values: Mapping[str, Column | str],
     probs: Mapping[str, float],
     keys: Sequence[str] = (),
     *,
@@ -155,7 +153,7 @@ def quantiles(
 
 def quantiles_of(
     df: DataFrame,
-    value: Column,
+    value: Column | str,
     probs: Mapping[str, float],
     keys: Sequence[str] = (),
     *,

@@ -26,16 +26,16 @@ WHISKER = 1.5
 def listing_kpis(df: DataFrame) -> DataFrame:
     """One row: number of listings, median price per m², median price, mean area."""
     columns = ("price_per_m2", "price", "area_m2")
-    found = quantiles(df, {c: F.col(c) for c in columns}, MEDIAN)
+    found = quantiles(df, {c: c for c in columns}, MEDIAN)
 
-    def of(column: str, statistic: str) -> Column:
-        return F.max(F.when(F.col("metric") == column, F.col(statistic)))
+    def of(column: str, statistic: str, name: str) -> Column:
+        return F.expr(f"max(if(metric = '{column}', {statistic}, NULL)) AS {name}")
 
     return found.agg(
-        F.coalesce(of("price", "n_rows"), F.lit(0)).alias("n_listings"),
-        of("price_per_m2", "median").alias("median_price_per_m2"),
-        of("price", "median").alias("median_price"),
-        of("area_m2", "mean").alias("avg_area_m2"),
+        F.expr("coalesce(max(n_rows), 0) AS n_listings"),
+        of("price_per_m2", "median", "median_price_per_m2"),
+        of("price", "median", "median_price"),
+        of("area_m2", "mean", "avg_area_m2"),
     )
 
 
@@ -62,29 +62,30 @@ def clipped_median(
 ) -> DataFrame:
     """One row: count and median of the (clipped) column."""
     values = column_values(df, column, bounds=bounds, clip=clip)
-    return quantiles_of(values, F.col("value"), MEDIAN).select("n", "median")
+    return quantiles_of(values, "value", MEDIAN).select("n", "median")
 
 
-def _fences() -> tuple[Column, Column]:
-    reach = (F.col("p75") - F.col("p25")) * F.lit(WHISKER)
-    return F.col("p25") - reach, F.col("p75") + reach
+REACH = f"(p75 - p25) * {WHISKER}D"
+LOW_FENCE, HIGH_FENCE = f"p25 - {REACH}", f"p75 + {REACH}"
 
 
 def _boxes(hist: DataFrame, keys: Sequence[str], max_groups: int | None, min_n: int) -> DataFrame:
     """Five-number summary, whiskers and outlier count per group of a value histogram."""
     stats = histogram_quantiles(hist, QUARTILES, keys, max_groups=max_groups)
-    stats = stats.filter(F.col("n") >= min_n)
-    low, high = _fences()
     kept = ("n", "mean", "min", "p25", "median", "p75", "max")
-    v, within = F.col("v"), (F.col("v") >= low) & (F.col("v") <= high)
     joined = join_groups(
-        hist.withColumnRenamed("n", "copies"), stats.drop("n_rows"), keys, v, small_rows=max_groups
+        hist.withColumnRenamed("n", "copies"),
+        stats.filter(f"n >= {min_n}").select(*keys, *kept),
+        keys,
+        "v",
+        small_rows=max_groups,
     )
+    within = f"v >= {LOW_FENCE} AND v <= {HIGH_FENCE}"
     return joined.groupBy(*keys).agg(
-        *(F.max(c).alias(c) for c in kept),
-        F.min(F.when(within, v)).alias("whisker_low"),
-        F.max(F.when(within, v)).alias("whisker_high"),
-        F.sum(F.when(within, 0).otherwise(F.col("copies"))).alias("n_outliers"),
+        *(F.expr(f"max({c}) AS {c}") for c in kept),
+        F.expr(f"min(if({within}, v, NULL)) AS whisker_low"),
+        F.expr(f"max(if({within}, v, NULL)) AS whisker_high"),
+        F.expr(f"sum(if({within}, 0, copies)) AS n_outliers"),
     )
 
 
@@ -93,7 +94,7 @@ def box(
 ) -> DataFrame:
     """One row of box statistics of a (clipped) column."""
     values = column_values(df, column, bounds=bounds, clip=clip)
-    hist = value_histogram(values, {column: F.col("value")})
+    hist = value_histogram(values, {column: "value"})
     return _boxes(hist, ["metric"], 1, 0).withColumnRenamed("metric", "column")
 
 
@@ -102,10 +103,10 @@ def box_outliers(
 ) -> DataFrame:
     """The values beyond the whiskers, one row per value."""
     values = column_values(df, column, bounds=bounds, clip=clip)
-    low, high = _fences()
-    limits = quantiles_of(values, F.col("value"), QUARTILES).select(
-        F.struct(low.alias("low"), high.alias("high"))
-    ).scalar()
+    fences = quantiles_of(values, "value", QUARTILES).selectExpr(
+        f"struct({LOW_FENCE} AS low, {HIGH_FENCE} AS high)"
+    )
+    limits = fences.scalar()
     return values.filter((F.col("value") < limits["low"]) | (F.col("value") > limits["high"]))
 
 

@@ -59,23 +59,17 @@ def month_trends(
     two = df.filter(F.col(month_col) >= F.coalesce(previous, latest))
     columns = sorted({m.column for m in metrics.values()})
     found = quantiles(
-        two, {c: F.col(c) for c in columns}, {"median": 0.5}, [month_col], max_groups=2
+        two, {c: c for c in columns}, {"median": 0.5}, [month_col], max_groups=2
     )
     statistic = {"count": "n_rows", "mean": "mean", "median": "median"}
-    wanted = F.array(
-        *(
-            F.struct(
-                F.lit(name).alias("name"),
-                F.lit(m.column).alias("source"),
-                F.col(statistic[m.kind]).cast("double").alias("value"),
-            )
-            for name, m in metrics.items()
-        )
+    wanted = ", ".join(
+        f"struct('{name}' AS name, '{m.column}' AS source, cast({statistic[m.kind]} AS double) AS value)"
+        for name, m in metrics.items()
     )
     values = (
-        found.select(month_col, "metric", F.explode(wanted).alias("w"))
-        .filter(F.col("metric") == F.col("w.source"))
-        .select(month_col, F.col("w.name").alias("metric"), F.col("w.value").alias("value"))
+        found.selectExpr(f"`{month_col}`", "metric AS source", f"inline(array({wanted})) AS (metric, wants, value)")
+        .filter("source = wants")
+        .select(month_col, "metric", "value")
     )
     is_latest = F.col(month_col) == latest
     paired = values.groupBy("metric").agg(

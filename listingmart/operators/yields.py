@@ -32,7 +32,7 @@ def sale_benchmark(
 ) -> DataFrame:
     """Median sale price per m² by category; listings without a category are left out."""
     found = quantiles_of(
-        sale, F.col(ppm2_col), {"median": 0.5}, [category], max_groups=_group_bound(category)
+        sale, ppm2_col, {"median": 0.5}, [category], max_groups=_group_bound(category)
     )
     return found.select(category, F.col("median").alias(benchmark_col))
 
@@ -53,7 +53,7 @@ def make_yield_df(
     bench, rows = counted(
         sale_benchmark(sale, category, ppm2_col=sale_ppm2_col, benchmark_col=benchmark_col)
     )
-    joined = join_groups(rent, bench, [category], F.col(rent_ppm2_col), small_rows=rows)
+    joined = join_groups(rent, bench, [category], rent_ppm2_col, small_rows=rows)
     yearly = F.col(rent_ppm2_col) * F.lit(float(annualization))
     return joined.withColumn(yield_col, F.try_divide(yearly, F.col(benchmark_col)) * 100)
 
@@ -62,7 +62,7 @@ def yield_summary(df: DataFrame, group_col: str, *, yield_col: str = YIELD) -> D
     """Yield statistics per group, highest median first."""
     found = quantiles_of(
         df,
-        F.col(yield_col),
+        yield_col,
         {"median": 0.5, "p25": 0.25, "p75": 0.75},
         [group_col],
         max_groups=_group_bound(group_col),
@@ -84,6 +84,6 @@ def yield_by_category(
 
 def median_of_groups(summary: DataFrame) -> DataFrame:
     """One row: number of groups and the median over their medians."""
-    return quantiles_of(summary, F.col("median"), {"median": 0.5}).select(
+    return quantiles_of(summary, "median", {"median": 0.5}).select(
         F.col("n_rows").alias("n_groups"), F.col("median").alias("yield_median")
     )

@@ -22,7 +22,7 @@ def mart_city_month(listings: DataFrame) -> DataFrame:
     """Listings and price-per-m² quantiles by month and city, over all monthly records."""
     found = quantiles_of(
         listings,
-        F.col("price_per_m2"),
+        "price_per_m2",
         {"median_ppm2": 0.5, "p25_ppm2": 0.25, "p75_ppm2": 0.75},
         ["month", "city"],
     )

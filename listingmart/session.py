@@ -6,6 +6,10 @@ import os
 
 from pyspark.sql import SparkSession
 
+# The cleaning chain projects some thirty columns at once. Beyond 8000 bytes the JVM does not compile
+# a method, so such a stage runs faster when it is generated in several smaller ones.
+HUGE_METHOD_LIMIT = "8000"
+
 
 def local_session(name: str = "listingmart", cpus: str | None = None) -> SparkSession:
     """Session for tests and local runs. On a cluster use the one the cluster provides; only the
@@ -17,6 +21,7 @@ def local_session(name: str = "listingmart", cpus: str | None = None) -> SparkSe
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.codegen.hugeMethodLimit", HUGE_METHOD_LIMIT)
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
