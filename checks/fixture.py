@@ -84,8 +84,9 @@ def district_polygons(spark: SparkSession) -> DataFrame:
     """The grid as polygons, together with the whole-city polygon that the layer has to drop."""
     boxes = rectangles()
     boxes.append(("Warszawa", GRID_LON, GRID_LAT, boxes[-1][3], boxes[-1][4]))
-    rows = [
-        (name, [[[x0, y0], [x1, y0], [x1, y1], [x0, y1], [x0, y0]]])
+    rows = ", ".join(
+        f"('{name}', array(array({', '.join(f'array({x!r}D, {y!r}D)' for x, y in ring)})))"
         for name, x0, y0, x1, y1 in boxes
-    ]
-    return spark.createDataFrame(rows, "name string, rings array<array<array<double>>>")
+        for ring in [((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0))]
+    )
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(name, rings)")

@@ -41,14 +41,16 @@ COMBINED_FILTER = {
 
 @dataclass(frozen=True)
 class Fixture:
-    """Stored tables of one data folder: the long table and the static tables."""
+    """Stored tables of one data folder: raw, long and static listings."""
 
     folder: str
+    raw: DataFrame
     long: DataFrame
     static: DataFrame
 
 
 _layers: dict[str, DistrictLayer] = {}
+_raw: dict[tuple[str, str], tuple[str, DataFrame]] = {}
 _fixtures: dict[tuple[str, str], Fixture] = {}
 
 
@@ -59,17 +61,31 @@ def layer(spark: SparkSession) -> DistrictLayer:
     return _layers[app]
 
 
+def landed(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """Folder and raw listings of a data folder. They are stored once per application, in place of
+    the raw files that a user of the library starts from."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _raw:
+        folder = f"{work_folder(spark)}/listings-{uuid.uuid4().hex}"
+        path = save_processed(raw_listings(spark, sf_dir), folder, "raw", partition_by=())
+        _raw[key] = folder, spark.read.parquet(path)
+    return _raw[key]
+
+
+def raw_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return landed(spark, sf_dir)[1]
+
+
 def fixture(spark: SparkSession, sf_dir: str) -> Fixture:
     """Build the stored tables of a data folder once per application, as the application's users do
     before they look at reports."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _fixtures:
-        folder = f"{work_folder(spark)}/listings-{uuid.uuid4().hex}"
-        path = store_long_table(raw_listings(spark, sf_dir), layer(spark), folder)
-        long = spark.read.parquet(path)
+        folder, raw = landed(spark, sf_dir)
+        long = spark.read.parquet(store_long_table(raw, layer(spark), folder))
         static = dedup.one_row_per_property(long, keys=("market", dedup.FINGERPRINT))
-        static_path = save_processed(static, folder, "listings_static", partition_by=("market",))
-        _fixtures[key] = Fixture(folder, long, spark.read.parquet(static_path))
+        path = save_processed(static, folder, "listings_static", partition_by=("market",))
+        _fixtures[key] = Fixture(folder, raw, long, spark.read.parquet(path))
     return _fixtures[key]
 
 
@@ -84,7 +100,7 @@ def static_table(spark: SparkSession, sf_dir: str, market: str | None = None) ->
 
 
 def typed_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.coerce_types(clean.require_columns(raw_listings(spark, sf_dir)))
+    return clean.coerce_types(clean.require_columns(raw_table(spark, sf_dir)))
 
 
 def located(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +126,7 @@ LISTING = ("listing_id", "market", "month", "city", "listing_type", "district",
 
 
 def q_clean_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = clean.require_columns(raw_listings(spark, sf_dir))
+    df = clean.require_columns(raw_table(spark, sf_dir))
     typed = clean.coerce_types(df)
     critical = F.lit(True)
     for c in clean.CRITICAL_COLUMNS:
@@ -158,13 +174,13 @@ def q_dedup_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_districts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = raw_listings(spark, sf_dir)
+    raw = raw_table(spark, sf_dir)
     points = raw.select("listing_id", *(to_number(c, raw.schema[c].dataType).alias(c) for c in ("lat", "lon")))
     return assign_district(points, layer(spark)).select("listing_id", "district")
 
 
 def q_district_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = raw_listings(spark, sf_dir).select("listing_id", "lat", "lon")
+    raw = raw_table(spark, sf_dir).select("listing_id", "lat", "lon")
     inside = assign_district(raw, layer(spark), keep_outside=False)
     return inside.groupBy("district").agg(F.count(F.lit(1)).alias("n"))
 
@@ -367,7 +383,7 @@ def q_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.value_counts(raw_listings(spark, sf_dir), "month")
+    return stats.value_counts(raw_table(spark, sf_dir), "month")
 
 
 def q_value_counts_amenity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -375,7 +391,7 @@ def q_value_counts_amenity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_load_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.load_profile(raw_listings(spark, sf_dir), STANDARD_COLUMNS)
+    return stats.load_profile(raw_table(spark, sf_dir), STANDARD_COLUMNS)
 
 
 def q_newest(spark: SparkSession, sf_dir: str) -> DataFrame:

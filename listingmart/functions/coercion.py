@@ -28,19 +28,19 @@ MISSING_TEXTS = (
 )
 
 
-def squeeze(c: Column) -> Column:
-    """Collapse every run of blanks to one space and strip the ends."""
-    return F.trim(F.regexp_replace(c.cast("string"), BLANKS, " "))
+def squeeze(c: str) -> str:
+    """SQL that collapses every run of blanks to one space and strips the ends."""
+    return f"trim(regexp_replace(cast({c} AS string), r'{BLANKS}', ' '))"
 
 
-def normalize_city(c: Column) -> Column:
+def normalize_city(column: str) -> Column:
     """Strip, lower-case and collapse inner blanks to one."""
-    return squeeze(F.lower(c.cast("string")))
+    return F.expr(f"lower({squeeze(f'`{column}`')})")
 
 
-def slug(c: Column) -> Column:
+def slug(column: str) -> Column:
     """Strip, lower-case and join words with an underscore."""
-    return F.replace(normalize_city(c), F.lit(" "), F.lit("_"))
+    return F.expr(f"replace(lower({squeeze(f'`{column}`')}), ' ', '_')")
 
 
 def missing_to_null(c: Column) -> Column:
@@ -73,8 +73,8 @@ def to_boolean(column: str, dtype: T.DataType) -> Column:
         return F.col(column)
     if isinstance(dtype, T.NumericType):
         return F.expr(f"CASE `{column}` WHEN 1 THEN true WHEN 0 THEN false END")
-    word = F.lower(squeeze(F.col(column)))
-    return F.when(word.isin(*TRUE_WORDS), True).when(word.isin(*FALSE_WORDS), False)
+    word = f"lower({squeeze(f'`{column}`')})"
+    return F.expr(f"CASE WHEN {word} IN {TRUE_WORDS} THEN true WHEN {word} IN {FALSE_WORDS} THEN false END")
 
 
 def to_month(column: str, dtype: T.DataType) -> Column:

@@ -32,7 +32,7 @@ def coerce_types(df: DataFrame) -> DataFrame:
     types = {f.name: f.dataType for f in df.schema.fields}
     typed = {
         "month": coercion.to_month("month", types["month"]),
-        "city": coercion.normalize_city(F.col("city")),
+        "city": coercion.normalize_city("city"),
     }
     for c in ("price", "area_m2", *FLOAT_COLUMNS):
         if c in types:

@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from listingmart.functions.coercion import slug
@@ -34,23 +34,19 @@ class DistrictLayer:
     step_x: float
     step_y: float
 
-    def cell_x(self, x: Column) -> Column:
-        return F.floor((x - F.lit(self.x0)) / F.lit(self.step_x)).cast("long")
+    def cell_x(self, x: str) -> str:
+        return f"cast(floor(({x} - {self.x0!r}D) / {self.step_x!r}D) AS bigint)"
 
-    def cell_y(self, y: Column) -> Column:
-        return F.floor((y - F.lit(self.y0)) / F.lit(self.step_y)).cast("long")
+    def cell_y(self, y: str) -> str:
+        return f"cast(floor(({y} - {self.y0!r}D) / {self.step_y!r}D) AS bigint)"
 
 
-def _ring_edges(ring: Column) -> Column:
-    return F.transform(
-        F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))),
-        lambda p, i: F.struct(
-            F.get(F.get(ring, i), F.lit(0)).alias("x1"),
-            F.get(F.get(ring, i), F.lit(1)).alias("y1"),
-            F.get(p, F.lit(0)).alias("x2"),
-            F.get(p, F.lit(1)).alias("y2"),
-        ),
-    )
+BOX = ("xmin", "xmax", "ymin", "ymax")
+
+# Edges of all rings of a polygon, each from one ring point to the next.
+EDGES = """flatten(transform(rings, ring -> transform(
+  slice(ring, 2, greatest(size(ring) - 1, 0)),
+  (p, i) -> struct(get(get(ring, i), 0) AS x1, get(get(ring, i), 1) AS y1, get(p, 0) AS x2, get(p, 1) AS y2))))"""
 
 
 def build_layer(polygons: DataFrame, *, name_col: str = "name", city: str = CITY) -> DistrictLayer:
@@ -61,52 +57,40 @@ def build_layer(polygons: DataFrame, *, name_col: str = "name", city: str = CITY
         raise ValueError(f"Column '{name_col}' not found in districts. Available: {polygons.columns}")
     shapes = (
         polygons.filter(F.lower(F.col(name_col)) != city)
-        .select(
-            slug(F.col(name_col)).alias("district"),
-            F.flatten(F.transform("rings", _ring_edges)).alias("edges"),
-        )
-        .filter(F.size("edges") > 0)
-        .withColumns(
-            {
-                "xmin": F.array_min(F.transform("edges", lambda e: F.least(e["x1"], e["x2"]))),
-                "xmax": F.array_max(F.transform("edges", lambda e: F.greatest(e["x1"], e["x2"]))),
-                "ymin": F.array_min(F.transform("edges", lambda e: F.least(e["y1"], e["y2"]))),
-                "ymax": F.array_max(F.transform("edges", lambda e: F.greatest(e["y1"], e["y2"]))),
-            }
+        .select(slug(name_col).alias("district"), F.expr(EDGES).alias("edges"))
+        .filter("size(edges) > 0")
+        .selectExpr(
+            "district",
+            "edges",
+            "array_min(transform(edges, e -> least(e.x1, e.x2))) AS xmin",
+            "array_max(transform(edges, e -> greatest(e.x1, e.x2))) AS xmax",
+            "array_min(transform(edges, e -> least(e.y1, e.y2))) AS ymin",
+            "array_max(transform(edges, e -> greatest(e.y1, e.y2))) AS ymax",
         )
     )
-    extent = shapes.agg(
-        F.count(F.lit(1)), F.min("xmin"), F.max("xmax"), F.min("ymin"), F.max("ymax")
-    ).first()
+    extent = shapes.selectExpr("count(1)", "min(xmin)", "max(xmax)", "min(ymin)", "max(ymax)").first()
     n, x0, x1, y0, y1 = extent
     if not n:
         raise ValueError("The districts layer has no named polygon.")
     side = min(MAX_GRID_SIDE, max(8, math.ceil(4 * math.sqrt(n))))
     layer = DistrictLayer(polygons, 0, x0, y0, (x1 - x0) / side or 1.0, (y1 - y0) / side or 1.0)
 
-    def reachable(edge: Column) -> Column:
-        """Edges of the cell's rows that do not lie wholly to its left."""
-        return (
-            (layer.cell_y(F.least(edge["y1"], edge["y2"])) <= F.col("cy"))
-            & (layer.cell_y(F.greatest(edge["y1"], edge["y2"])) >= F.col("cy"))
-            & (layer.cell_x(F.greatest(edge["x1"], edge["x2"])) >= F.col("cx"))
-        )
-
+    # A ray from a cell meets edges in the rows of the cell that do not lie wholly to its left.
+    reachable = (
+        f"{layer.cell_y('least(e.y1, e.y2)')} <= cy AND {layer.cell_y('greatest(e.y1, e.y2)')} >= cy "
+        f"AND {layer.cell_x('greatest(e.x1, e.x2)')} >= cx"
+    )
     cells = (
-        shapes.withColumn(
-            "cx", F.explode(F.sequence(layer.cell_x(F.col("xmin")), layer.cell_x(F.col("xmax"))))
+        shapes.selectExpr(
+            "*", f"explode(sequence({layer.cell_x('xmin')}, {layer.cell_x('xmax')})) AS cx"
         )
-        .withColumn(
-            "cy", F.explode(F.sequence(layer.cell_y(F.col("ymin")), layer.cell_y(F.col("ymax"))))
-        )
-        .withColumn("edges", F.filter("edges", reachable))
-        .filter(F.size("edges") > 0)
+        .selectExpr("*", f"explode(sequence({layer.cell_y('ymin')}, {layer.cell_y('ymax')})) AS cy")
+        .selectExpr("cx", "cy", "district", *BOX, f"filter(edges, e -> {reachable}) AS edges")
+        .filter("size(edges) > 0")
         .groupBy("cx", "cy")
         .agg(
-            F.sum(F.size("edges")).alias("n_edges"),
-            F.array_sort(
-                F.collect_list(F.struct("district", "xmin", "xmax", "ymin", "ymax", "edges"))
-            ).alias("candidates"),
+            F.expr("sum(size(edges)) AS n_edges"),
+            F.expr(f"array_sort(collect_list(struct(district, {', '.join(BOX)}, edges))) AS candidates"),
         )
         .persist()
     )
@@ -116,33 +100,19 @@ def build_layer(polygons: DataFrame, *, name_col: str = "name", city: str = CITY
     )
 
 
-def _contains(polygon: Column, x: Column, y: Column) -> Column:
-    """Even-odd ray casting; a point on the boundary is not inside."""
-    boxed = (
-        (x >= polygon["xmin"])
-        & (x <= polygon["xmax"])
-        & (y >= polygon["ymin"])
-        & (y <= polygon["ymax"])
+def _first_containing(x: str, y: str) -> str:
+    """SQL of the first candidate polygon around a point: even-odd ray casting inside the bounding
+    box; a point on the boundary is not inside."""
+    side = f"((e.x2 - e.x1) * ({y} - e.y1) - (e.y2 - e.y1) * ({x} - e.x1))"
+    crosses = f"((e.y1 > {y}) != (e.y2 > {y}) AND ({side} > 0) = (e.y2 > e.y1))"
+    touches = (
+        f"{side} = 0 AND {x} BETWEEN least(e.x1, e.x2) AND greatest(e.x1, e.x2) "
+        f"AND {y} BETWEEN least(e.y1, e.y2) AND greatest(e.y1, e.y2)"
     )
-
-    def side(e: Column) -> Column:
-        return (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
-
-    def crosses(e: Column) -> Column:
-        straddles = (e["y1"] > y) != (e["y2"] > y)
-        return straddles & ((side(e) > 0) == (e["y2"] > e["y1"]))
-
-    def touches(e: Column) -> Column:
-        return (
-            (side(e) == 0)
-            & (x >= F.least(e["x1"], e["x2"]))
-            & (x <= F.greatest(e["x1"], e["x2"]))
-            & (y >= F.least(e["y1"], e["y2"]))
-            & (y <= F.greatest(e["y1"], e["y2"]))
-        )
-
-    odd = F.aggregate(polygon["edges"], F.lit(False), lambda acc, e: acc != crosses(e))
-    return boxed & odd & ~F.exists(polygon["edges"], touches)
+    return f"""get(filter(_candidates, p ->
+      {x} BETWEEN p.xmin AND p.xmax AND {y} BETWEEN p.ymin AND p.ymax
+      AND aggregate(p.edges, false, (odd, e) -> odd != {crosses})
+      AND NOT exists(p.edges, e -> {touches})), 0).district"""
 
 
 def assign_district(
@@ -161,19 +131,18 @@ def assign_district(
     missing = [c for c in (lat_col, lon_col) if c not in df.columns]
     if missing:
         raise ValueError(f"Missing required columns: {missing}")
-    x, y = F.col(lon_col), F.col(lat_col)
+    x, y = f"`{lon_col}`", f"`{lat_col}`"
     points = df.drop(out_col).dropna(subset=[lat_col, lon_col]).withColumns(
-        {"_cx": layer.cell_x(x), "_cy": layer.cell_y(y)}
+        {"_cx": F.expr(layer.cell_x(x)), "_cy": F.expr(layer.cell_y(y))}
     )
-    cells = layer.cells.withColumnsRenamed({"cx": "_cx", "cy": "_cy", "candidates": "_candidates"})
+    cells = layer.cells.selectExpr("cx AS _cx", "cy AS _cy", "candidates AS _candidates")
     keys = ["_cx", "_cy"]
     if layer.edges <= broadcast_edges:
         cells = F.broadcast(cells)
     else:
         keys.append("_salt")
-        points = points.withColumn("_salt", F.pmod(F.xxhash64(x, y), F.lit(SALTS)).cast("int"))
-        cells = cells.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    hit = F.get(F.filter("_candidates", lambda p: _contains(p, x, y)), F.lit(0))
-    out = points.join(cells, keys, "left").withColumn(out_col, hit["district"])
+        points = points.withColumn("_salt", F.expr(f"cast(pmod(xxhash64({x}, {y}), {SALTS}) AS int)"))
+        cells = cells.withColumn("_salt", F.expr(f"explode(sequence(0, {SALTS - 1}))"))
+    out = points.join(cells, keys, "left").withColumn(out_col, F.expr(_first_containing(x, y)))
     out = out.drop(*keys, "_candidates")
     return out if keep_outside else out.filter(F.col(out_col).isNotNull())
