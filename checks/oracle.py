@@ -382,6 +382,7 @@ def statements() -> dict[str, str]:
         "load_profile": " SELECT market, min(month) AS min_month, max(month) AS max_month, count(*) AS n_rows, '' AS missing_columns FROM raw GROUP BY market",
         "newest_listings": f""" SELECT month, city, district, listing_type, {r6("area_m2", "area_m2")}, {r6("price", "price")}, {r6("price_per_m2", "price_per_m2")}
           FROM long WHERE market = 'sale' ORDER BY month DESC, listing_id LIMIT 10""",
+        "preview": " " + listing("sale", COMBINED_WHERE) + " ORDER BY month DESC, listing_id LIMIT 200",
         "csv_round_trip": " " + listing("static", "market = 'sale'"),
     }
     out |= {f"box_by_{c}": box_by(c) for c in BOX_CATEGORIES}

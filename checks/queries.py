@@ -399,6 +399,11 @@ def q_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.newest(long_table(spark, sf_dir, "sale"), columns, 10)
 
 
+def q_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    view = filters.apply_filters(static_table(spark, sf_dir, "sale"), COMBINED_FILTER)
+    return stats.preview(view).select(*LISTING)
+
+
 def q_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     static = static_table(spark, sf_dir, "sale").select(*LISTING)
     path = export_csv(static, f"{fixture(spark, sf_dir).folder}/export-{uuid.uuid4().hex}.csv")
@@ -460,6 +465,7 @@ def registered() -> dict[str, Query]:
         "value_counts_amenity": q_value_counts_amenity,
         "load_profile": q_load_profile,
         "newest_listings": q_newest,
+        "preview": q_preview,
         "csv_round_trip": q_csv_round_trip,
     }
     plain |= {f"box_by_{c}": q_box_by(c) for c in BOX_CATEGORIES}

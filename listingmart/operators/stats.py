@@ -47,8 +47,9 @@ def histogram(
     span = values.agg(F.struct(F.min("value").alias("lo"), F.max("value").alias("hi"))).scalar()
     lo, hi = span["lo"], span["hi"]
     width = (hi - lo) / F.lit(float(bins))
-    number = F.least(F.lit(bins - 1), F.floor(F.try_divide(F.col("value") - lo, width)).cast("int"))
-    counted = values.groupBy(F.coalesce(number, F.lit(0)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    place = F.floor(F.try_divide(F.col("value") - lo, width)).cast("int")
+    number = F.least(F.lit(bins - 1), F.coalesce(place, F.lit(0)))
+    counted = values.groupBy(number.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     return counted.select(
         "bin",
         (lo + F.col("bin") * width).alias("bin_lo"),
@@ -219,5 +220,5 @@ def newest(df: DataFrame, columns: Sequence[str], n: int = 10) -> DataFrame:
 
 
 def preview(df: DataFrame, n: int = 200) -> DataFrame:
-    """Any ``n`` rows."""
-    return df.limit(n)
+    """The first ``n`` rows, newest first."""
+    return df.orderBy(F.desc("month"), "listing_id").limit(n)
