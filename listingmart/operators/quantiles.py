@@ -14,8 +14,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Buckets per unit of natural logarithm: one bucket spans about 0.012 % of its values' size.
-BUCKETS_PER_LOG_UNIT = 8192
+# Buckets per unit of natural logarithm: one bucket spans about 0.1 % of its values' size.
+BUCKETS_PER_LOG_UNIT = 1024
 # Further from zero than any logarithm of a double times the resolution.
 LOG_SPAN = 1000 * BUCKETS_PER_LOG_UNIT
 NULL_BUCKET = -10 * LOG_SPAN
@@ -25,7 +25,7 @@ MAX_BROADCAST_TARGETS = 100_000
 
 
 def coarse_bucket(v: str) -> str:
-    """SQL of a bucket number that never decreases as ``v`` grows; at most 24 million different."""
+    """SQL of a bucket number that never decreases as ``v`` grows; at most three million different."""
 
     def magnitude(positive: str) -> str:
         return f"cast(floor(least(ln({positive}) * {BUCKETS_PER_LOG_UNIT}, {LOG_SPAN}D)) AS bigint) + {2 * LOG_SPAN}"
@@ -72,10 +72,13 @@ def histogram_quantiles(
     high = {name: f"cast(ceil((total - 1) * {float(p)!r}D) AS bigint)" for name, p in probs.items()}
     ranks = dict.fromkeys((*low.values(), *high.values()))
 
-    # ``w`` is the number of non-null values behind a histogram row.
+    # ``w`` is the number of non-null values behind a histogram row. Group and bucket are joined as
+    # one struct: on plain keys Spark may prune partitions of one of the two scans of the histogram,
+    # and then computes it twice.
     fine = hist.selectExpr(
         *names, "v", "n", "if(v IS NULL, 0L, n) AS w", f"{coarse_bucket('v')} AS bucket"
     )
+    cell = f"struct({', '.join([*names, 'bucket'])}) AS cell"
     coarse = fine.groupBy(*keys, "bucket").agg(
         F.expr("sum(n) AS b_rows"),
         F.expr("sum(w) AS b_n"),
@@ -97,13 +100,13 @@ def histogram_quantiles(
     holds_rank = " OR ".join(f"({r} >= through - b_n AND {r} < through)" for r in ranks)
     stats = ("n_rows", "total", "total_sum", "min", "max")
     targets = ranked.filter(f"total = 0 OR {holds_rank}").selectExpr(
-        *names, "bucket", "through - b_n AS before", *stats
+        cell, "through - b_n AS before", *stats
     )
     if max_groups is not None and max_groups * (2 * len(probs) + 1) <= MAX_BROADCAST_TARGETS:
         targets = F.broadcast(targets)
 
-    inside = f"{group}, bucket ORDER BY v ROWS UNBOUNDED PRECEDING"
-    placed = fine.join(targets, [*keys, "bucket"]).selectExpr(
+    inside = "PARTITION BY cell ORDER BY v ROWS UNBOUNDED PRECEDING"
+    placed = fine.selectExpr(*names, "v", "w", cell).join(targets, "cell").selectExpr(
         *names, *stats, "v", "w", f"before + sum(w) OVER ({inside}) AS through"
     )
     at_rank = [f"max(if({r} >= through - w AND {r} < through, v, NULL)) AS at{i}" for i, r in enumerate(ranks)]

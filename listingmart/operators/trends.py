@@ -42,12 +42,12 @@ def direction(change: Column) -> Column:
 
 
 def two_latest_months(df: DataFrame, month_col: str = "month") -> tuple[Column, Column]:
-    """The latest month and the month present before it, as scalar subqueries. On a table
-    partitioned by month they are answered per partition and then prune the scan."""
-    month = F.col(month_col)
-    latest = df.agg(F.max(month)).scalar()
-    previous = df.filter(month < latest).agg(F.max(month)).scalar()
-    return latest, previous
+    """The latest month and the month present before it (null when there is none), as fields of one
+    scalar subquery. The distinct months are few; the filter built on them prunes a table that is
+    partitioned by month."""
+    months = df.select(F.col(month_col).alias("m")).distinct().orderBy(F.desc("m")).limit(2)
+    two = months.agg(F.expr("struct(max(m) AS latest, nullif(min(m), max(m)) AS previous)")).scalar()
+    return two["latest"], two["previous"]
 
 
 def month_trends(

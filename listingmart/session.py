@@ -10,6 +10,9 @@ from pyspark.sql import SparkSession
 # a method, so such a stage runs faster when it is generated in several smaller ones.
 HUGE_METHOD_LIMIT = "8000"
 
+# Test data is small: without this, adaptive execution folds it into one or two tasks.
+MIN_PARTITION_SIZE = "64k"
+
 
 def local_session(name: str = "listingmart", cpus: str | None = None) -> SparkSession:
     """Session for tests and local runs. On a cluster use the one the cluster provides; only the
@@ -22,6 +25,7 @@ def local_session(name: str = "listingmart", cpus: str | None = None) -> SparkSe
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.codegen.hugeMethodLimit", HUGE_METHOD_LIMIT)
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", MIN_PARTITION_SIZE)
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
