@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listingmart.llm import ngram_join
+from listingmart.llm import ann, mixing, ngram_join, packing, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,12 +16,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str = "word_bpe_49k.json") -> str:
+    """Path of a public tokenizer's vocabulary on this machine and the executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 100 == 0, 10)
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), tokenizer())
+
+
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 50 == 0, 5)
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     return ngram_join.similar(docs).withColumnRenamed("id", "doc_id")
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = mixing.mixed(table(spark, sf_dir, "documents"))
+    return taken.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def registered() -> dict[str, Query]:
     return {
+        "op1_ann": op1_ann,
+        "op2_warc": op2_warc,
+        "op4_packing": op4_packing,
+        "op8_topk": op8_topk,
         "op9_ngram_join": op9_ngram_join,
+        "op10_mixing": op10_mixing,
     }

@@ -13,8 +13,9 @@ import numpy as np
 
 BATCH_BYTES = 1 << 20
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, *range(9, 14)]] = True
+_WORD_CLASS = np.ones(256, np.uint8)
+_WORD_CLASS[[32, *range(9, 14)]] = 0
+_NO_CUT = np.zeros((2, 2), bool)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -54,18 +55,8 @@ def batches(texts: Sequence[str | None], size: int = BATCH_BYTES) -> Iterator[tu
 
 def word_hashes(raws: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and the offsets of each text's words in them (one more than texts)."""
-    lengths = np.fromiter(map(len, raws), np.int64, len(raws)) + 1
-    buffer = np.frombuffer(b"\n".join([*raws, b""]), np.uint8)
-    at = np.flatnonzero(~_SPACE[buffer])
-    if not len(at):
-        return np.zeros(0, np.uint64), np.zeros(len(raws) + 1, np.int64)
-    first = np.flatnonzero(np.concatenate(([True], np.diff(at) > 1)))
-    long = np.diff(np.concatenate((first, [len(at)])))
-    place = np.arange(len(at)) - np.repeat(first, long)
-    value = (_LOWER[buffer[at]].astype(np.uint64) + np.uint64(1)) * _places(int(long.max()))[place]
-    hashes = mix(np.add.reduceat(value, first) + long.astype(np.uint64) * _STEPS[0])
-    ends = np.cumsum(lengths)
-    return hashes, np.concatenate(([0], np.searchsorted(at[first], ends)))
+    _, _, _, hashes, offsets = units(raws, _WORD_CLASS, _NO_CUT)
+    return hashes, offsets
 
 
 def shingles(hashes: np.ndarray, offsets: np.ndarray, size: int = 5) -> list[np.ndarray]:
@@ -84,3 +75,24 @@ def shingles(hashes: np.ndarray, offsets: np.ndarray, size: int = 5) -> list[np.
         else:
             found.append(np.zeros(0, np.uint64))
     return found
+
+
+def units(raws: Sequence[bytes], classes: np.ndarray, cut: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of bytes other than class 0, cut also where ``cut[class, next class]``: the joined texts, where each unit
+    begins and ends in them, its hash, and the offsets of each text's units."""
+    joined = b"\n".join([*raws, b""])
+    buffer = np.frombuffer(joined, np.uint8)
+    kinds = classes[buffer]
+    at = np.flatnonzero(kinds)
+    if not len(at):
+        none = np.zeros(0, np.int64)
+        return joined, none, none, none.astype(np.uint64), np.zeros(len(raws) + 1, np.int64)
+    kept = kinds[at]
+    first = np.flatnonzero(np.concatenate(([True], (np.diff(at) > 1) | cut[kept[:-1], kept[1:]])))
+    long = np.diff(np.concatenate((first, [len(at)])))
+    place = np.arange(len(at)) - np.repeat(first, long)
+    value = (_LOWER[buffer[at]].astype(np.uint64) + np.uint64(1)) * _places(int(long.max()))[place]
+    hashes = mix(np.add.reduceat(value, first) + long.astype(np.uint64) * _STEPS[0])
+    ends = np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)) + 1)
+    begins = at[first]
+    return joined, begins, begins + long, hashes, np.concatenate(([0], np.searchsorted(begins, ends)))
