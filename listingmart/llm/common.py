@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A table is broadcast only after it was stored and counted, and only up to so many rows and bytes.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 16 << 20
 # Rows of one key are spread over so many tasks where the other side cannot be broadcast.
 SALTS = 32

@@ -1,20 +1,22 @@
 """N-gram Jaccard join: exact near-duplicate classes by prefix filters under two global token orders.
 
 A document is the set of its distinct five-word shingles. Two documents link when they share at least ``num / den`` of
-the union. Under any order of all shingles, two linked sets share one of their first ``n - ceil(t * n) + 1`` shingles.
-Here the filter is applied under two orders, and a pair must pass both before its sets are compared:
+the union. Under any order of all shingles, two linked sets share shingles among their first ``n - ceil(t * n) + 1``, and
+how many is bounded from below: what they share is at most the shared part of the prefixes and what one of them
+has behind its prefix. Here this filter is applied under two orders, and a pair must pass both before its sets are compared:
 
 1. One pass over the texts gives each document the size and a 64-bit fingerprint of its set (equal sets form one class
    at once) and counts the shingles that repeat. The most repeated ones, a fixed number at most, come last in either
    order; this is a matter of cost only, the filter holds under any order.
 2. A second pass emits the prefix under the first order, once per set. Shingles that only one set has are dropped.
-3. Sets that share a prefix shingle are compared with the least of them. Linked sets form components, and only
-   components that still meet in a shingle are compared further, first by one member of each, in the end by all members
-   of different components. So a group of copies costs a pair per copy, and no pair that could join two components is left out.
-4. A pair is compared if its sizes allow the similarity and the prefixes under the second order share a shingle.
+3. Sets that share a prefix shingle are compared with the least of them, then with a few more. Linked sets form components, and only sets of
+   different components that still meet in a shingle are compared with each other. So a group of copies costs a
+   pair per copy, and no pair that could join two components is left out.
+4. A pair is compared if its sizes allow the similarity and it passes the filter under the first order, from the shingles
+   kept in step 2, and under the second, from the texts, which are read again for the sets of such pairs only.
 
 Shingles with very many sets are spread over tasks by a salt. Cost grows with the pairs of *different* components that
-pass both filters.
+pass the filters.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +37,11 @@ NUM, DEN = 80, 100
 HEAVY = 1 << 18
 HEAVY_COUNT = 16
 # Tokens counted together in a task.
-COUNTED = 1 << 22
+COUNTED = 1 << 21
+# Members that stand for a component when it is compared with the others of a shingle.
+STAND_INS = 6
+# Texts taken from a batch at once.
+SLICE = 500
 # Sets of a heavy shingle that stay together.
 TOGETHER = 1 << 10
 
@@ -58,40 +64,46 @@ def _fingerprint(tokens: np.ndarray) -> int:
     return int((words.mix(tokens, 11).sum() ^ words.mix(np.array([len(tokens)], np.uint64), 12))[0].astype(np.int64))
 
 
-def _sets(texts: list[str | None], size: int) -> Iterator[tuple[int, np.ndarray]]:
-    for first, group in words.batches(texts):
-        for i, tokens in enumerate(words.shingles(*words.word_hashes(group), size)):
-            yield first + i, tokens
+def _texts(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(row of the first text, shingles of each text) of a batch, a few texts at a time."""
+    for at in range(0, batch.num_rows, SLICE):
+        for first, group in words.batches(batch.column("text").slice(at, SLICE).to_pylist()):
+            yield at + first, words.shingles(*words.word_hashes(group), size)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
+    values = np.concatenate(arrays).astype(np.int64) if arrays else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
 
 
 def describe(docs: DataFrame, size: int) -> DataFrame:
     """One row per document (id, n, set) and rows of repeated shingles (token, n), told apart by ``token``."""
     schema = docs.select("id").schema.simpleString()[7:-1] + ", n bigint, set bigint, token bigint"
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, count = [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count, kind = [], 0, pa.int64()
 
-        def repeated() -> pd.DataFrame:
+        def repeated() -> pa.RecordBatch:
             token, n = np.unique(np.concatenate(held), return_counts=True)
-            token, n = token[n > 1], n[n > 1]
-            return pd.DataFrame({"id": pd.Series([None] * len(n), dtype=object), "n": n, "set": np.int64(0), "token": token.astype(np.int64)})
-
-        for frame in frames:
-            n, name = np.zeros(len(frame), np.int64), np.zeros(len(frame), np.int64)
-            for i, tokens in _sets(frame["text"].tolist(), size):
-                n[i] = len(tokens)
-                if len(tokens):
-                    name[i] = _fingerprint(tokens)
-                    held.append(tokens)
-                    count += len(tokens)
+            token, n = token[n > 1].astype(np.int64), n[n > 1]
+            return pa.RecordBatch.from_arrays([pa.nulls(len(n), kind), pa.array(n), pa.nulls(len(n), pa.int64()), pa.array(token)], ["id", "n", "set", "token"])
+
+        for batch in batches:
+            kind = batch.column("id").type
+            for first, found in _texts(batch, size):
+                n = np.array([len(t) for t in found], np.int64)
+                name = np.array([_fingerprint(t) if len(t) else 0 for t in found], np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, len(n)), pa.array(n), pa.array(name), pa.nulls(len(n), pa.int64())], ["id", "n", "set", "token"])
+                held += found
+                count += int(n.sum())
                 if count >= COUNTED:
                     yield repeated()
                     held, count = [], 0
-            yield pd.DataFrame({"id": frame["id"], "n": n, "set": name, "token": pd.Series([None] * len(n), dtype="Int64")})
         if held:
             yield repeated()
 
-    return docs.mapInPandas(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def heaviest(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -103,66 +115,80 @@ def heaviest(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return token[order], np.minimum(63, np.log2(top["n"].to_numpy(np.float64)[order]).astype(np.int64))
 
 
+class _New:
+    """Fingerprints a task has not seen yet; beyond a bound it lets copies through, which later steps drop."""
+
+    def __init__(self, most: int = 200_000) -> None:
+        self.seen: set[int] = set()
+        self.most = most
+
+    def __call__(self, name: int) -> bool:
+        if name in self.seen:
+            return False
+        if len(self.seen) < self.most:
+            self.seen.add(name)
+        return True
+
+
 def prefixes(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], size: int, num: int, den: int) -> DataFrame:
-    """(set, n, token, part) of the first order, sets that a task sees again left out; ``part`` spreads a heavy token."""
+    """(set, token, part) of the first order, sets that a task sees again left out; ``part`` spreads a heavy token."""
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        new = _New()
         tokens_of, levels = shared.value
-        for frame in frames:
-            rows = []
-            for _, tokens in _sets(frame["text"].tolist(), size):
-                if not len(tokens) or (name := _fingerprint(tokens)) in seen:
-                    continue
-                if len(seen) < 1_000_000:
-                    seen.add(name)
-                chosen = tokens[_prefix(tokens, shared.value, 21, num, den)]
-                parts = np.zeros(len(chosen), np.int64)
-                if len(tokens_of):
-                    at = np.minimum(np.searchsorted(tokens_of, chosen), len(tokens_of) - 1)
-                    often = (tokens_of[at] == chosen) & (1 << levels[at] >= 2 * TOGETHER)
-                    parts = np.where(often, 1 + (name & 0x7FFFFFFF) % np.maximum(1, (2 << levels[at]) // TOGETHER), 0)
-                rows.append((name, len(tokens), chosen.astype(np.int64), parts))
-            yield pd.DataFrame(rows, columns=["set", "n", "token", "part"])
-
-    arrays = docs.select("text").mapInPandas(run, "set bigint, n bigint, token array<bigint>, part array<bigint>")
-    return arrays.select("set", "n", F.explode(F.arrays_zip("token", "part")).alias("x")).select("set", "n", "x.token", "x.part")
+        for batch in batches:
+            for _, found in _texts(batch, size):
+                names, chosen, parts = [], [], []
+                for tokens in found:
+                    if not len(tokens) or not new(name := _fingerprint(tokens)):
+                        continue
+                    first = tokens[_prefix(tokens, shared.value, 21, num, den)]
+                    part = np.zeros(len(first), np.int64)
+                    if len(tokens_of):
+                        at = np.minimum(np.searchsorted(tokens_of, first), len(tokens_of) - 1)
+                        often = (tokens_of[at] == first) & (1 << levels[at] >= 2 * TOGETHER)
+                        part = np.where(often, 1 + (name & 0x7FFFFFFF) % np.maximum(1, (2 << levels[at]) // TOGETHER), 0)
+                    names.append(name)
+                    chosen.append(first)
+                    parts.append(part)
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), _lists(chosen), _lists(parts)], ["set", "token", "part"])
+
+    arrays = docs.select("text").mapInArrow(run, "set bigint, token array<bigint>, part array<bigint>")
+    return arrays.select("set", F.explode(F.arrays_zip("token", "part")).alias("x")).select("set", "x.token", "x.part")
 
 
 def payloads(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], size: int, num: int, den: int) -> DataFrame:
-    """(set, n, second, tokens): the whole set and its prefix under the second order."""
+    """(set, second, tokens): the prefix under the second order and the whole set."""
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()
-        for frame in frames:
-            rows = []
-            for _, tokens in _sets(frame["text"].tolist(), size):
-                if not len(tokens) or (name := _fingerprint(tokens)) in seen:
-                    continue
-                if len(seen) < 1_000_000:
-                    seen.add(name)
-                second = tokens[_prefix(tokens, shared.value, 22, num, den)]
-                rows.append((name, len(tokens), second.astype(np.int64), tokens.astype(np.int64)))
-            yield pd.DataFrame(rows, columns=["set", "n", "second", "tokens"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        new = _New()
+        for batch in batches:
+            for _, found in _texts(batch, size):
+                kept = [(name, t) for t in found if len(t) and new(name := _fingerprint(t))]
+                second = [t[_prefix(t, shared.value, 22, num, den)] for _, t in kept]
+                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in kept], pa.int64()), _lists(second), _lists([t for _, t in kept])], ["set", "second", "tokens"])
 
-    return docs.select("text").mapInPandas(run, "set bigint, n bigint, second array<bigint>, tokens array<bigint>").dropDuplicates(["set"])
+    return docs.select("text").mapInArrow(run, "set bigint, second array<bigint>, tokens array<bigint>")
 
 
 def _sized(num: int, den: int) -> Column:
     return F.expr(f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) that share a prefix shingle of the second order and, compared in full, reach the similarity."""
-    a = sets.select(*(F.col(c).alias(f"{c}_a") for c in ("set", "n", "second")))
-    b = sets.select(*(F.col(c).alias(f"{c}_b") for c in ("set", "n", "second")))
-    near = pairs.join(a, pairs["a"] == a["set_a"]).join(b, F.col("b") == F.col("set_b")).filter(_sized(num, den) & F.arrays_overlap("second_a", "second_b")).select("a", "b", "n_a", "n_b")
-    left = sets.select(F.col("set").alias("a"), F.col("tokens").alias("tokens_a"))
-    right = sets.select(F.col("set").alias("b"), F.col("tokens").alias("tokens_b"))
-    common = F.size(F.array_intersect("tokens_a", "tokens_b")).cast("bigint")
-    full = near.join(left, "a").join(right, "b").withColumn("common", common)
+def _enough(common: Column, num: int, den: int) -> Column:
+    """True if sets that share ``common`` prefix shingles can share enough in all: behind its prefix a set has ceil(t n) - 1."""
+    most = common.cast("bigint") + F.expr(f"ceil({num} * greatest(n_a, n_b) / {den}) - 1")
+    return F.lit(num + den) * most >= F.lit(num) * (F.col("n_a") + F.col("n_b"))
+
+
+def compared(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of ``pairs`` (a, b, n_a, n_b) that pass the second filter and reach the similarity in full."""
+    common = lambda c: F.size(F.array_intersect(f"{c}_a", f"{c}_b")).cast("bigint")
+    side = lambda c, x: sets.select(F.col("set").alias(x), F.col(c).alias(f"{c}_{x}"))
+    near = pairs.join(side("second", "a"), "a").join(side("second", "b"), "b").filter(_enough(common("second"), num, den)).select("a", "b", "n_a", "n_b")
+    full = near.join(side("tokens", "a"), "a").join(side("tokens", "b"), "b").withColumn("common", common("tokens"))
     return full.filter(F.expr(f"{den} * common >= {num} * (n_a + n_b - common)")).select("a", "b")
 
 
@@ -181,13 +207,6 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of the shingles in which different components still meet."""
-    known = members.join(labels, "set", "left").select("token", "set", "n", F.coalesce("label", "set").alias("label"))
-    open_ = known.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("token", "low")
-    return known.join(open_, "token")
-
-
 def similar(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
     """(id, n_shingles, component_id) for ``docs`` (id, text): one row per row, in no order.
 
@@ -199,37 +218,54 @@ def similar(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den: int = DEN
     described = stored(describe(docs, size))
     rows = described.filter("token IS NULL").select("id", "n", "set")
     heavy = heaviest(described)
-    classes = stored(rows.filter("n > 0").groupBy("set").agg(F.min("id").alias("least")))
-
-    # One exchange serves both the count of a token's sets and the rows that stay. A heavy token lies in several parts.
-    spread = prefixes(docs, heavy, size, num, den).withColumn("key", F.when(F.col("part") == 0, F.col("token")).otherwise(F.xxhash64("token", "part"))).repartition("key")
-    groups = spread.groupBy("key").agg(F.min("set").alias("low"), F.max("set").alias("high"), F.max("part").alias("parts")).filter("low <> high OR parts > 0").select("key", "low")
-    members = stored(spread.join(groups, "key").select("token", "part", "set", "n", "low").distinct())
-    heads = members.filter("part > 0").groupBy("token").agg(F.min("low").alias("first"))
-    star = members.filter("set <> low").select(F.col("low").alias("a"), F.col("set").alias("b"))
-    tops = members.filter("part > 0").select("token", "low").distinct().join(heads, "token").filter("low <> first").select(F.col("first").alias("a"), F.col("low").alias("b"))
-    pairs = stored(star.union(tops).distinct())
-
-    wanted = members.select("set").distinct().join(classes, "set").select(F.col("least").alias("id")).distinct()
-    sets = stored(payloads(attach(docs, stored(wanted), ["id"], "left_semi", "id"), heavy, size, num, den))
-    links = stored(verified(pairs, sets, num, den))
-    members = members.select("token", "set", "n").distinct()
-    while True:
-        labels = components(links)
-        open_ = stored(_labelled(members, labels))
-        heads = open_.groupBy("token", "label").agg(F.min("set").alias("b"), F.first("low").alias("low"))
-        firsts = heads.filter("label = low").select("token", F.col("b").alias("a"))
-        probes = heads.filter("label <> low").join(firsts, "token").select("a", "b").distinct()
-        new = stored(verified(probes.join(pairs, ["a", "b"], "left_anti"), sets, num, den))
-        pairs = pairs.union(probes)
-        if not new.limit(1).count():
-            break
-        links = links.union(new)
-    met = open_.select("token", "label").distinct()
-    cross = met.join(met.select("token", F.col("label").alias("other")), "token").filter("label < other")
-    cross = cross.join(open_.select("token", "label", F.col("set").alias("a"), F.col("n").alias("n_a")), ["token", "label"]).join(open_.select("token", F.col("label").alias("other"), F.col("set").alias("b"), F.col("n").alias("n_b")), ["token", "other"])
-    cross = cross.filter(_sized(num, den))
-    new = stored(verified(stored(cross.select("a", "b").distinct()), sets, num, den))
+    classes = stored(rows.filter("n > 0").groupBy("set").agg(F.min("id").alias("least"), F.max("n").alias("n")))
+
+    # Both uses of the spread rows read the same columns, so one exchange serves them. A heavy token lies in several parts.
+    spread = prefixes(docs, heavy, size, num, den).repartition("token", "part")
+    groups = spread.groupBy("token", "part").agg(F.min("set").alias("low"), F.max("set").alias("high")).filter("low <> high OR part > 0").select("token", "part", "low")
+    members = stored(spread.join(groups, ["token", "part"]))
+    sized = attach(members.groupBy("set").agg(F.collect_set("token").alias("first")), classes.select("set", "n"), ["set"], "inner", "set")
+    sets = stored(sized)
+
+    def fetched(pairs: DataFrame) -> DataFrame:
+        """Payloads of the sets in pairs, from one document of each."""
+        names = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
+        ids = stored(names.join(classes, "set").select(F.col("least").alias("id")).distinct())
+        return stored(payloads(attach(docs, ids, ["id"], "left_semi", "id"), heavy, size, num, den)).dropDuplicates(["set"])
+
+    # Step 3, first the stars.
+    heads = members.filter("part > 0").groupBy("token").agg(F.min("low").alias("a"))
+    tops = members.filter("part > 0").select("token", F.col("low").alias("b")).distinct().join(heads, "token").select("a", "b")
+    stars = members.select(F.col("low").alias("a"), F.col("set").alias("b")).union(tops).filter("a <> b").distinct()
+    side = lambda x: sets.select(F.col("set").alias(x), F.col("n").alias(f"n_{x}"), F.col("first").alias(f"first_{x}"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        near = pairs.join(side("a"), "a").join(side("b"), "b").filter(_sized(num, den) & _enough(F.size(F.array_intersect("first_a", "first_b")), num, den))
+        able = stored(near.select("a", "b", "n_a", "n_b"))
+        return stored(compared(able, fetched(able), num, den))
+
+    # So far a set has met the least of its shingle only. Some members of the least component stand for it next.
+    links = linked(stars)
+    labels = components(links)
+    known = attach(sets, labels, ["set"], "left", "set").select(F.explode("first").alias("token"), "set", "n", F.coalesce("label", "set").alias("label"))
+    some = F.array(*(F.min_by("set", F.xxhash64("set", F.lit(k))) for k in range(STAND_INS)))
+    ends = stored(known.groupBy("token", "label").agg(some.alias("some")))
+    least = ends.groupBy("token").agg(F.min("label").alias("low"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").select("token", "low")
+    open_ = ends.join(least, "token")
+    firsts = open_.filter("label = low").select("token", F.col("some").alias("one"))
+    probes = open_.filter("label <> low").join(firsts, "token").select(F.explode(F.arrays_zip("one", "some")).alias("x")).select(F.col("x.one").alias("a"), F.col("x.some").alias("b"))
+    links = links.union(linked(probes.distinct()))
+    labels = components(links)
+
+    # Then the sets of different components that meet in a shingle.
+    known = attach(sets, labels, ["set"], "left", "set").select(F.explode("first").alias("token"), "set", "n", F.coalesce("label", "set").alias("label"))
+    met = stored(known.select("token", "label").distinct())
+    meet = met.withColumnRenamed("label", "label_a").join(met.withColumnRenamed("label", "label_b"), "token").filter("label_a < label_b")
+    end = lambda x: known.select("token", F.col("label").alias(f"label_{x}"), F.col("set").alias(x), F.col("n").alias(f"n_{x}"))
+    cross = meet.join(end("a"), ["token", "label_a"]).join(end("b"), ["token", "label_b"]).filter(_sized(num, den))
+    counted = cross.groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.count(F.lit(1)).alias("common"))
+    pairs = stored(counted.filter(_enough(F.col("common"), num, den)).select("a", "b", "n_a", "n_b"))
+    new = stored(compared(pairs, fetched(pairs), num, den))
     if new.limit(1).count():
         labels = components(links.union(new))
     named = classes.join(labels, "set", "left").select("set", "least", F.coalesce("label", "set").alias("label"))
