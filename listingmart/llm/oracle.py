@@ -12,6 +12,23 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM d LEFT JOIN k USING (payload_digest)
 """
 
+CHAT = """
+WITH c AS (
+  SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+), e AS (
+  SELECT *, length(replace(replace(text, '\\', '\\\\'), '<|', '<\\|')) AS body,
+    length(replace(replace(replace(role, '\\', '\\\\'), '<|', '<\\|'), chr(10), '\\' || chr(10))) AS head FROM c
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(24 + head + body) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
 TOPK = """
 WITH v AS (
   SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q FROM embeddings
@@ -50,4 +67,4 @@ FROM r
 
 
 def statements() -> dict[str, str]:
-    return {"op2_warc": WARC, "op8_topk": TOPK, "op10_mixing": MIXING}
+    return {"op2_warc": WARC, "op7_chat": CHAT, "op8_topk": TOPK, "op10_mixing": MIXING}
