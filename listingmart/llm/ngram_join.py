@@ -259,8 +259,12 @@ def similar(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den: int = DEN
 
     # Then the sets of different components that meet in a shingle.
     known = attach(sets, labels, ["set"], "left", "set").select(F.explode("first").alias("token"), "set", "n", F.coalesce("label", "set").alias("label"))
-    met = stored(known.select("token", "label").distinct())
-    meet = met.withColumnRenamed("label", "label_a").join(met.withColumnRenamed("label", "label_b"), "token").filter("label_a < label_b")
+    # Components whose sizes lie too far apart in all of a shingle's sets do not meet there.
+    met = stored(known.groupBy("token", "label").agg(F.min("n").alias("low"), F.max("n").alias("high")))
+    meets = lambda x: met.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("label", "low", "high")))
+    apart = F.expr(f"label_a < label_b AND {den} * high_a >= {num} * low_b AND {den} * high_b >= {num} * low_a")
+    left, right = meets("a"), meets("b")
+    meet = left.join(right, (left["token"] == right["token"]) & apart).select(left["token"], "label_a", "label_b")
     end = lambda x: known.select("token", F.col("label").alias(f"label_{x}"), F.col("set").alias(x), F.col("n").alias(f"n_{x}"))
     cross = meet.join(end("a"), ["token", "label_a"]).join(end("b"), ["token", "label_b"]).filter(_sized(num, den))
     counted = cross.groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.count(F.lit(1)).alias("common"))
