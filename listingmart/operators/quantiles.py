@@ -38,10 +38,15 @@ def coarse_bucket(v: str) -> str:
 
 
 def value_histogram(
-    df: DataFrame, values: Mapping[str, Column | str], keys: Sequence[str] = ()
+    df: DataFrame,
+    values: Mapping[str, Column | str],
+    keys: Sequence[str] = (),
+    *,
+    null_keys: bool = False,
 ) -> DataFrame:
-    """``keys, metric, v, n``: how often each distinct value occurs. Rows with a null key drop out."""
-    df = df.dropna(subset=list(keys)) if keys else df
+    """``keys, metric, v, n``: how often each distinct value occurs. Rows with a null key drop out,
+    unless ``null_keys`` makes null a group like any other."""
+    df = df.dropna(subset=list(keys)) if keys and not null_keys else df
     columns = [F.col(v) if isinstance(v, str) else v for v in values.values()]
     narrow = df.select(*keys, *(c.alias(f"_v{i}") for i, c in enumerate(columns)))
     pairs = ", ".join(f"'{name}', cast(_v{i} AS double)" for i, name in enumerate(values))
@@ -139,6 +144,7 @@ def quantiles(
     keys: Sequence[str] = (),
     *,
     max_groups: int | None = None,
+    null_keys: bool = False,
 ) -> DataFrame:
     """Statistics of several columns in one pass: one row per group and metric.
 
@@ -147,7 +153,7 @@ def quantiles(
     if not keys:
         max_groups = 1
     return histogram_quantiles(
-        value_histogram(df, values, keys),
+        value_histogram(df, values, keys, null_keys=null_keys),
         probs,
         [*keys, "metric"],
         max_groups=None if max_groups is None else max_groups * len(values),
@@ -161,6 +167,8 @@ def quantiles_of(
     keys: Sequence[str] = (),
     *,
     max_groups: int | None = None,
+    null_keys: bool = False,
 ) -> DataFrame:
     """Statistics of one column: one row per group."""
-    return quantiles(df, {"value": value}, probs, keys, max_groups=max_groups).drop("metric")
+    found = quantiles(df, {"value": value}, probs, keys, max_groups=max_groups, null_keys=null_keys)
+    return found.drop("metric")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from listingmart.functions.fingerprint import FingerprintConfig
 from listingmart.operators.clean import clean_base
 from listingmart.operators.districts import DistrictLayer, build_layer
-from listingmart.plans.marts import listing_tables
+from listingmart.plans.marts import listing_tables, mart_yield_proxy
 from listingmart.schema import MARKETS
 from listingmart.sources.geojson import read_districts
 from listingmart.sources.monthly_csv import load_monthly
@@ -46,17 +46,25 @@ def store_long_table(
 
 
 def build_database(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """Open the stored long tables, derive every analysis table and register them for SQL. The static
-    tables are stored first, because every later report reads them."""
+    """Open the stored long tables, derive every analysis table and register them for SQL. Static
+    tables (by month, so that reports on the latest months prune) and marts are stored and opened
+    again, because every later report reads them."""
     long = {m: load_processed(spark, folder, LONG_NAME.format(market=m)) for m in MARKETS}
     tables = listing_tables(long["sale"], long["rent"])
     static = {}
     for market in MARKETS:
         name = f"listings_{market}_static"
-        save_processed(tables[name], folder, name, partition_by=())
+        save_processed(tables[name], folder, name, partition_by=("month",))
         static[market] = load_processed(spark, folder, name)
         tables[name] = static[market]
     tables["listings_static_all"] = static["sale"].unionByName(static["rent"], allowMissingColumns=True)
+    marts = [f"mart_city_month_{market}" for market in MARKETS]
+    for name in marts:
+        save_processed(tables[name], folder, name, partition_by=())
+        tables[name] = load_processed(spark, folder, name)
+    proxy = "mart_city_month_yield_proxy"
+    save_processed(mart_yield_proxy(*(tables[name] for name in marts)), folder, proxy, partition_by=())
+    tables[proxy] = load_processed(spark, folder, proxy)
     register_views(tables)
     return tables
 

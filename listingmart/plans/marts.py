@@ -19,12 +19,14 @@ def of_market(long: DataFrame, market: str) -> DataFrame:
 
 
 def mart_city_month(listings: DataFrame) -> DataFrame:
-    """Listings and price-per-m² quantiles by month and city, over all monthly records."""
+    """Listings and price-per-m² quantiles by month and city, over all monthly records.
+    Listings without a month or city form groups of their own."""
     found = quantiles_of(
         listings,
         "price_per_m2",
         {"median_ppm2": 0.5, "p25_ppm2": 0.25, "p75_ppm2": 0.75},
         ["month", "city"],
+        null_keys=True,
     )
     return found.select(
         "month",

@@ -23,6 +23,8 @@ from listingmart.schema import RAW_TO_STANDARD
 # Fixed value: the month inside a file name.
 MONTH_IN_NAME = r"(20[0-9]{2})[_-]([0-9]{2})"
 
+SURPLUS = "_surplus"
+
 # How many headers are read at the same time.
 HEADER_THREADS = 16
 
@@ -56,13 +58,20 @@ def list_csv_files(spark: SparkSession, folder: str) -> list[str]:
     return sorted(row.path for row in listing.select("path").collect())
 
 
-def read_csv_files(spark: SparkSession, files: Sequence[str], market: str) -> DataFrame:
-    """Long raw table of the given files: all fields as text, plus ``month`` and ``market``."""
+def read_csv_files(
+    spark: SparkSession, files: Sequence[str], market: str, *, multi_line: bool = True
+) -> DataFrame:
+    """Long raw table of the given files: all fields as text, plus ``month`` and ``market``.
+
+    Quoted fields may hold line breaks; a file is then read by one task. Where none does,
+    ``multi_line=False`` lets Spark split files. A row with fewer fields than the header is filled up
+    with nulls, one with more fails the query.
+    """
     for path in files:
         check_file_name(path.rsplit("/", 1)[-1])
 
     def reader():
-        return spark.read.option("header", True).option("quote", '"').option("escape", '"')
+        return spark.read.options(header=True, quote='"', escape='"', multiLine=multi_line)
 
     with ThreadPoolExecutor(HEADER_THREADS) as pool:
         headers = pool.map(lambda path: tuple(reader().csv(path).columns), files)
@@ -72,8 +81,11 @@ def read_csv_files(spark: SparkSession, files: Sequence[str], market: str) -> Da
 
     frames = []
     for header, paths in by_header.items():
-        text = T.StructType([T.StructField(c, T.StringType()) for c in header])
+        # One column more than the header has: it is null unless a row has too many fields.
+        text = T.StructType([T.StructField(c, T.StringType()) for c in (*header, SURPLUS)])
+        too_long = F.raise_error(F.concat(F.lit("Row with more fields than the header in "), F.col("_metadata.file_name")))
         raw = reader().schema(text).csv(paths)
+        raw = raw.filter(F.when(F.col(SURPLUS).isNull(), True).otherwise(too_long.cast("boolean")))
         fields = [missing_to_null(F.col(f"`{c}`")).alias(c) for c in header]
         month = month_of_name(F.col("_metadata.file_name")).alias("month")
         frames.append(standardize_columns(raw.select(*fields, month, F.lit(market).alias("market"))))

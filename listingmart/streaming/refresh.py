@@ -17,6 +17,12 @@ def _month(path: str):
     return check_file_name(path.rsplit("/", 1)[-1])
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever file system its path names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def refresh_long_table(
     spark: SparkSession,
     raw_folder: str,
@@ -31,7 +37,8 @@ def refresh_long_table(
 
     The stream carries file names only. For every month that got a file, all files of the month are
     cleaned again and its partition is replaced, so a repeated batch leaves the same table, and a
-    month delivered in several files stays whole.
+    month delivered in several files stays whole. A month whose files hold no valid listing any more
+    loses its partition. A file that is written again under its old name does not count as new.
     """
 
     def replace_months(batch: DataFrame, _: int) -> None:
@@ -40,6 +47,7 @@ def refresh_long_table(
             return
         files = [path for path in list_csv_files(spark, raw_folder) if _month(path) in months]
         long = clean_base(read_csv_files(spark, files, market), layer, cfg=cfg)
+        filled = {row.month for row in long.select("month").distinct().collect()}
         (
             long.hint("rebalance", "month")
             .write.mode("overwrite")
@@ -47,6 +55,9 @@ def refresh_long_table(
             .partitionBy("month")
             .parquet(long_path)
         )
+        # Dynamic overwrite has nothing to write for an empty month, so its old rows would stay.
+        for month in months - filled:
+            remove_folder(spark, f"{long_path}/month={month}")
 
     arrivals = (
         spark.readStream.format("binaryFile")

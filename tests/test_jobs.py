@@ -141,3 +141,39 @@ def test_refresh_stream_equals_batch(spark, raw):
     second = run()
     assert {r[0] for r in second} == {"a1", "a2", "b1", "b2", "b3"}
     assert run() == second
+
+
+def test_quoted_line_breaks_stay_in_one_row(spark, folder):
+    write(folder, "sale_2024_01.csv", f'{HEADER}\nq1,Warszawa,"two\nlines",50,500000,52.2,21.0,2,yes\nq2,Warszawa,tenement\n')
+    rows = {r["listing_id"]: r for r in monthly_csv.load_sale_monthly(spark, folder).collect()}
+    assert set(rows) == {"q1", "q2"}
+    assert rows["q1"]["listing_type"] == "two\nlines" and rows["q1"]["price"] == "500000"
+    assert rows["q2"]["price"] is None
+
+
+def test_surplus_fields_fail(spark, folder):
+    write(folder, "sale_2024_01.csv", f"{HEADER}\n{JANUARY}a9,Warszawa,tenement,50,1,52.2,21.0,1,no,more\n")
+    with pytest.raises(Exception, match="more fields than the header"):
+        monthly_csv.load_sale_monthly(spark, folder).select("listing_id").collect()
+
+
+def test_refresh_drops_a_month_that_came_out_empty(spark, raw):
+    target, checkpoint = f"{raw}/long", f"{raw}/checkpoint"
+
+    def run():
+        refresh_long_table(spark, f"{raw}/sale", "sale", target, checkpoint).awaitTermination(120)
+        return {r["listing_id"] for r in spark.read.parquet(target).collect()}
+
+    assert run() == {"a1", "a2", "b1", "b2"}
+    write(f"{raw}/sale", "sale-2024-02.csv", f"{FEBRUARY_HEADER}\n520000,b1,tenement,warszawa,0,21.0,52.2,2,x\n")
+    write(f"{raw}/sale", "more_2024_02.csv", f"{HEADER}\nb3,Warszawa,tenement,0,700000,52.2,21.0,2,yes\n")
+    assert run() == {"a1", "a2"}
+
+
+def test_marts_are_stored(spark, raw):
+    dataset.build_dataset(spark, raw, f"{raw}/out")
+    tables_of = dataset.build_database(spark, f"{raw}/out")
+    plan = tables_of["mart_city_month_yield_proxy"]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "mart_city_month_yield_proxy.parquet" in plan
+    static = tables_of["listings_sale_static"].filter(F.col("month") == dt.date(2024, 2, 1))
+    assert "PartitionFilters: [isnotnull(month" in static._jdf.queryExecution().executedPlan().toString()

@@ -81,3 +81,12 @@ def test_hot_value_is_folded_before_the_shuffle(spark):
     assert "partial_count" in text and "CartesianProduct" not in text and "NestedLoop" not in text
     plan.collect()
     assert "ReusedExchange" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_null_keys_are_a_group_of_the_mart(spark):
+    from listingmart.plans.marts import mart_city_month
+
+    rows = [("a", 1.0), ("a", 3.0), (None, 5.0)]
+    listings = spark.createDataFrame(rows, "city string, price_per_m2 double").selectExpr("DATE'2024-01-01' AS month", "*")
+    found = {r["city"]: (r["n_listings"], r["median_ppm2"]) for r in mart_city_month(listings).collect()}
+    assert found == {"a": (2, 2.0), None: (1, 5.0)}
