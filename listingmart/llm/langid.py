@@ -22,7 +22,7 @@ from listingmart.llm import samples
 from listingmart.llm.common import need
 
 # Labelled documents of a language, and in all, that are used at most.
-PER_LANG, SAMPLE = 1000, 4000
+PER_LANG, SAMPLE = 800, 3000
 BUCKETS = 1 << 12  # for pairs, and as many for triples
 EPOCHS, RATE = 150, 0.05
 UNKNOWN, AMBIGUOUS = "und", 0.5
