@@ -22,7 +22,7 @@ from listingmart.llm import samples
 from listingmart.llm.common import need
 
 # Labelled documents of a language, and in all, that are used at most.
-PER_LANG, SAMPLE = 800, 3000
+PER_LANG, SAMPLE = 600, 2000
 BUCKETS = 1 << 12  # for pairs, and as many for triples
 EPOCHS, RATE = 150, 0.05
 UNKNOWN, AMBIGUOUS = "und", 0.5
@@ -112,12 +112,17 @@ def fit(texts: list[str], langs: list[str]) -> Model:
         n = int(rng.integers(20, 200))
         at = int(rng.integers(0, max(1, len(t) - n)))
         short.append(t[at : at + n])
-    rows = _frequencies(texts + short)
-    known = codes[[names.index(x) for x in langs] * 2].astype(np.float32) if names else np.zeros((0, codes.shape[1]), np.float32)
-    scale = rows.std(0) + 1e-4 if len(rows) else np.ones(2 * BUCKETS, np.float32)
+    # Every eighth row tests; rows are put in that order at once, so that both parts are views of one table.
+    passages, names_of = texts + short, [*langs, *langs]
+    order = sorted(range(len(passages)), key=lambda i: (i % 8 == 7, i))
+    rows = _frequencies([passages[i] for i in order])
+    known = codes[[names.index(names_of[i]) for i in order]].astype(np.float32) if names else np.zeros((0, codes.shape[1]), np.float32)
+    mean = rows.mean(0) if len(rows) else np.zeros(2 * BUCKETS, np.float32)
+    square = np.einsum("ij,ij->j", rows, rows) / max(1, len(rows))
+    scale = np.sqrt(np.maximum(square - mean * mean, 0)) + 1e-4
     rows /= scale
-    test = np.arange(len(rows)) % 8 == 7
-    x, y = rows[~test], known[~test]
+    cut = len(rows) - len(rows) // 8
+    x, y = rows[:cut], known[:cut]
     w, b = np.zeros((2 * BUCKETS, codes.shape[1]), np.float32), np.zeros(codes.shape[1], np.float32)
     first, second = [np.zeros_like(p) for p in (w, b)], [np.zeros_like(p) for p in (w, b)]
     for step in range(1, EPOCHS + 1 if len(x) else 1):
@@ -126,7 +131,7 @@ def fit(texts: list[str], langs: list[str]) -> Model:
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
             p -= RATE * 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    right = ((rows[test] @ w + b) * known[test] > 0).mean(0) if test.any() else np.full(codes.shape[1], 0.9)
+    right = ((rows[cut:] @ w + b) * known[cut:] > 0).mean(0) if cut < len(rows) else np.full(codes.shape[1], 0.9)
     right = np.clip(right, 0.5, 0.99)
     return Model(names, codes, (w / scale[:, None]).astype(np.float32), b, np.log(right / (1 - right)))
 

@@ -22,7 +22,7 @@ from listingmart.llm import samples, words
 from listingmart.llm.common import need
 
 # Labelled documents that are used, at most.
-SAMPLE = 12_000
+SAMPLE = 10_000
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 18, 8, (1, 2, 3), 6
 EPOCHS, BATCH, RATE = 8, 32, 0.01
 SHRINK = 3.0
