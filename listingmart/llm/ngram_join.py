@@ -264,9 +264,10 @@ def similar(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den: int = DEN
     meets = lambda x: met.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("label", "low", "high")))
     apart = F.expr(f"label_a < label_b AND {den} * high_a >= {num} * low_b AND {den} * high_b >= {num} * low_a")
     left, right = meets("a"), meets("b")
-    meet = left.join(right, (left["token"] == right["token"]) & apart).select(left["token"], "label_a", "label_b")
+    meet = left.join(right, (left["token"] == right["token"]) & apart).select(left["token"], "label_a", "label_b", "low_b", "high_b")
     end = lambda x: known.select("token", F.col("label").alias(f"label_{x}"), F.col("set").alias(x), F.col("n").alias(f"n_{x}"))
-    cross = meet.join(end("a"), ["token", "label_a"]).join(end("b"), ["token", "label_b"]).filter(_sized(num, den))
+    fits = F.expr(f"{den} * n_a >= {num} * low_b AND {den} * high_b >= {num} * n_a")
+    cross = meet.join(end("a"), ["token", "label_a"]).filter(fits).join(end("b"), ["token", "label_b"]).filter(_sized(num, den))
     counted = cross.groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.count(F.lit(1)).alias("common"))
     pairs = stored(counted.filter(_enough(F.col("common"), num, den)).select("a", "b", "n_a", "n_b"))
     new = stored(compared(pairs, fetched(pairs), num, den))
