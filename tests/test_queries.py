@@ -3,7 +3,9 @@
 import pytest
 
 import __spark_entry__
+from checks import oracle
 from checks.compare import connect, differences
+from checks.queries import registered
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -14,14 +16,16 @@ def database():
 
 
 def test_every_query_has_its_sql():
-    assert set(__spark_entry__.queries()) == set(__spark_entry__.oracle_sql())
+    assert set(registered()) == set(oracle.statements())
+    assert set(registered()) <= set(__spark_entry__.queries())
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", sorted(__spark_entry__.queries()))
+@pytest.mark.parametrize("name", sorted(registered()))
 def test_query(spark, database, name):
-    df = __spark_entry__.queries()[name](spark, SF_DIR)
+    df = registered()[name](spark, SF_DIR)
     collected = [tuple(r) for r in df.collect()]
-    assert differences(df.columns, collected, database, __spark_entry__.oracle_sql()[name]) == []
+    assert differences(df.columns, collected, database, oracle.statements()[name]) == []
 
 
 def test_entry(spark):
