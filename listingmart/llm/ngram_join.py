@@ -183,6 +183,11 @@ def _enough(common: Column, num: int, den: int) -> Column:
     return F.lit(num + den) * most >= F.lit(num) * (F.col("n_a") + F.col("n_b"))
 
 
+def _hopeful(shared: Column, large: Column, small: Column, num: int, den: int) -> Column:
+    """False if sets of at most ``large`` and at least ``small`` shingles that share at most ``shared`` prefix shingles cannot pass `_enough`."""
+    return F.lit(num + den) * (F.lit(den) * shared + F.lit(num) * large) >= F.lit(num * den) * (large + small)
+
+
 def compared(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of ``pairs`` (a, b, n_a, n_b) that pass the second filter and reach the similarity in full."""
     common = lambda c: F.size(F.array_intersect(f"{c}_a", f"{c}_b")).cast("bigint")
@@ -257,17 +262,20 @@ def similar(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den: int = DEN
     links = links.union(linked(probes.distinct()))
     labels = components(links)
 
-    # Then the sets of different components that meet in a shingle.
-    known = attach(sets, labels, ["set"], "left", "set").select(F.explode("first").alias("token"), "set", "n", F.coalesce("label", "set").alias("label"))
-    # Components whose sizes lie too far apart in all of a shingle's sets do not meet there.
-    met = stored(known.groupBy("token", "label").agg(F.min("n").alias("low"), F.max("n").alias("high")))
-    meets = lambda x: met.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("label", "low", "high")))
+    # Then the sets of different components that meet in a shingle. Two sets share at most as many prefix shingles as either kept in
+    # step 2, and sizes bound how few will do: a near copy with many shingles of its own is dropped here without a pair.
+    known = attach(sets, labels, ["set"], "left", "set").select(F.explode("first").alias("token"), "set", "n", F.size("first").cast("bigint").alias("kept"), F.coalesce("label", "set").alias("label"))
+    met = stored(known.groupBy("token", "label").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("kept").alias("most")))
+    meets = lambda x: met.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("label", "low", "high", "most")))
     apart = F.expr(f"label_a < label_b AND {den} * high_a >= {num} * low_b AND {den} * high_b >= {num} * low_a")
+    apart &= _hopeful(F.least("most_a", "most_b"), F.greatest("high_a", "high_b"), F.least("low_a", "low_b"), num, den)
     left, right = meets("a"), meets("b")
-    meet = left.join(right, (left["token"] == right["token"]) & apart).select(left["token"], "label_a", "label_b", "low_b", "high_b")
-    end = lambda x: known.select("token", F.col("label").alias(f"label_{x}"), F.col("set").alias(x), F.col("n").alias(f"n_{x}"))
+    meet = left.join(right, (left["token"] == right["token"]) & apart).select(left["token"], "label_a", "label_b", "low_b", "high_b", "most_b")
+    end = lambda x: known.select("token", *(F.col(c).alias(f"{d}_{x}" if d else x) for c, d in (("label", "label"), ("set", ""), ("n", "n"), ("kept", "kept"))))
     fits = F.expr(f"{den} * n_a >= {num} * low_b AND {den} * high_b >= {num} * n_a")
-    cross = meet.join(end("a"), ["token", "label_a"]).filter(fits).join(end("b"), ["token", "label_b"]).filter(_sized(num, den))
+    fits &= _hopeful(F.least("kept_a", "most_b"), F.greatest("n_a", "high_b"), F.least("n_a", "low_b"), num, den)
+    able = _sized(num, den) & _enough(F.least("kept_a", "kept_b"), num, den)
+    cross = meet.join(end("a"), ["token", "label_a"]).filter(fits).join(end("b"), ["token", "label_b"]).filter(able)
     counted = cross.groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.count(F.lit(1)).alias("common"))
     pairs = stored(counted.filter(_enough(F.col("common"), num, den)).select("a", "b", "n_a", "n_b"))
     new = stored(compared(pairs, fetched(pairs), num, den))
