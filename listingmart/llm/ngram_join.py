@@ -9,8 +9,8 @@ has behind its prefix. Here this filter is applied under two orders, and a pair
    at once) and counts the shingles that repeat. The most repeated ones, a fixed number at most, come last in either
    order; this is a matter of cost only, the filter holds under any order.
 2. A second pass emits the prefix under the first order, once per set. Shingles that only one set has are dropped.
-3. Sets that share a prefix shingle are compared with the least of them, then with a few more. Linked sets form components, and only sets of
-   different components that still meet in a shingle are compared with each other. So a group of copies costs a
+3. Sets that share a prefix shingle are compared with the least of them, then with central members of its largest component. Only sets of
+   different components of linked sets that still meet in a shingle are compared with each other. So a group of copies costs a
    pair per copy, and no pair that could join two components is left out.
 4. A pair is compared if its sizes allow the similarity and it passes the filter under the first order, from the shingles
    kept in step 2, and under the second, from the texts, which are read again for the sets of such pairs only.
@@ -249,14 +249,19 @@ def similar(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den: int = DEN
         able = stored(near.select("a", "b", "n_a", "n_b"))
         return stored(compared(able, fetched(able), num, den))
 
-    # So far a set has met the least of its shingle only. Some members of the least component stand for it next.
+    def holders(labels: DataFrame) -> DataFrame:
+        """(token, set, n, kept, label) for each prefix shingle of each set."""
+        return attach(sets, labels, ["set"], "left", "set").select(F.explode("first").alias("token"), "set", "n", F.size("first").cast("bigint").alias("kept"), F.coalesce("label", "set").alias("label"))
+
+    # So far a set has met the least of its shingle only. The component with most sets in a shingle meets the others next, each by
+    # the members that kept most of their prefix (they have least of their own and lie in the middle), with some chance.
     links = linked(stars)
-    labels = components(links)
-    known = attach(sets, labels, ["set"], "left", "set").select(F.explode("first").alias("token"), "set", "n", F.coalesce("label", "set").alias("label"))
-    some = F.array(*(F.min_by("set", F.xxhash64("set", F.lit(k))) for k in range(STAND_INS)))
-    ends = stored(known.groupBy("token", "label").agg(some.alias("some")))
-    least = ends.groupBy("token").agg(F.min("label").alias("low"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").select("token", "low")
-    open_ = ends.join(least, "token")
+    known = holders(components(links))
+    chance = lambda k: F.pmod(F.xxhash64("set", F.lit(k)), F.lit(1 + 2 * k))
+    some = F.array(*(F.max_by("set", F.struct(F.col("kept") + chance(k), "set")) for k in range(STAND_INS)))
+    ends = stored(known.groupBy("token", "label").agg(some.alias("some"), F.count(F.lit(1)).alias("sets")))
+    most = ends.groupBy("token").agg(F.max_by("label", F.struct("sets", "label")).alias("low"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").select("token", "low")
+    open_ = ends.join(most, "token")
     firsts = open_.filter("label = low").select("token", F.col("some").alias("one"))
     probes = open_.filter("label <> low").join(firsts, "token").select(F.explode(F.arrays_zip("one", "some")).alias("x")).select(F.col("x.one").alias("a"), F.col("x.some").alias("b"))
     links = links.union(linked(probes.distinct()))
@@ -264,7 +269,7 @@ def similar(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den: int = DEN
 
     # Then the sets of different components that meet in a shingle. Two sets share at most as many prefix shingles as either kept in
     # step 2, and sizes bound how few will do: a near copy with many shingles of its own is dropped here without a pair.
-    known = attach(sets, labels, ["set"], "left", "set").select(F.explode("first").alias("token"), "set", "n", F.size("first").cast("bigint").alias("kept"), F.coalesce("label", "set").alias("label"))
+    known = holders(labels)
     met = stored(known.groupBy("token", "label").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("kept").alias("most")))
     meets = lambda x: met.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("label", "low", "high", "most")))
     apart = F.expr(f"label_a < label_b AND {den} * high_a >= {num} * low_b AND {den} * high_b >= {num} * low_a")
