@@ -227,9 +227,13 @@ def similar(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den: int = DEN
 
     # Both uses of the spread rows read the same columns, so one exchange serves them. A heavy token lies in several parts.
     spread = prefixes(docs, heavy, size, num, den).repartition("token", "part")
-    groups = spread.groupBy("token", "part").agg(F.min("set").alias("low"), F.max("set").alias("high")).filter("low <> high OR part > 0").select("token", "part", "low")
+    groups = spread.groupBy("token", "part").agg(F.min("set").alias("low"), F.max("set").alias("high"), F.count(F.lit(1)).alias("often")).filter("low <> high OR part > 0")
+    # Shingles in parts count as the most frequent of all.
+    groups = groups.select("token", "part", "low", F.when(F.col("part") > 0, F.lit(1 << 62)).otherwise(F.col("often")).alias("often"))
     members = stored(spread.join(groups, ["token", "part"]))
-    sized = attach(members.groupBy("set").agg(F.collect_set("token").alias("first")), classes.select("set", "n"), ["set"], "inner", "set")
+    # One order for all sets, rare shingles first.
+    rarest = F.transform(F.sort_array(F.collect_set(F.struct("often", "token"))), lambda x: x["token"])
+    sized = attach(members.groupBy("set").agg(rarest.alias("first")), classes.select("set", "n"), ["set"], "inner", "set")
     sets = stored(sized)
 
     def fetched(pairs: DataFrame) -> DataFrame:
@@ -250,8 +254,9 @@ def similar(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den: int = DEN
         return stored(compared(able, fetched(able), num, den))
 
     def holders(labels: DataFrame) -> DataFrame:
-        """(token, set, n, kept, label) for each prefix shingle of each set."""
-        return attach(sets, labels, ["set"], "left", "set").select(F.explode("first").alias("token"), "set", "n", F.size("first").cast("bigint").alias("kept"), F.coalesce("label", "set").alias("label"))
+        """(token, set, n, kept, rest, label) for each prefix shingle of each set; ``rest``: those kept from it on in the order."""
+        each = attach(sets, labels, ["set"], "left", "set").select("*", F.posexplode("first").alias("at", "token"))
+        return each.select("token", "set", "n", F.size("first").cast("bigint").alias("kept"), (F.size("first") - F.col("at")).cast("bigint").alias("rest"), F.coalesce("label", "set").alias("label"))
 
     # So far a set has met the least of its shingle only. The component with most sets in a shingle meets the others next, each by
     # the members that kept most of their prefix (they have least of their own and lie in the middle), with some chance.
@@ -267,23 +272,22 @@ def similar(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den: int = DEN
     links = links.union(linked(probes.distinct()))
     labels = components(links)
 
-    # Then the sets of different components that meet in a shingle. Two sets share at most as many prefix shingles as either kept in
-    # step 2, and sizes bound how few will do: a near copy with many shingles of its own is dropped here without a pair.
+    # Then the sets of different components that meet in a shingle. Two sets meet at the first shingle they share; they share at most
+    # as many as either has from there on, and sizes bound how few will do. So a near copy with many shingles of its own makes no
+    # pair, and pairs that share some shingles only late in the order are not made either.
     known = holders(labels)
-    met = stored(known.groupBy("token", "label").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("kept").alias("most")))
+    met = stored(known.groupBy("token", "label").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("most")))
     meets = lambda x: met.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("label", "low", "high", "most")))
     apart = F.expr(f"label_a < label_b AND {den} * high_a >= {num} * low_b AND {den} * high_b >= {num} * low_a")
     apart &= _hopeful(F.least("most_a", "most_b"), F.greatest("high_a", "high_b"), F.least("low_a", "low_b"), num, den)
     left, right = meets("a"), meets("b")
     meet = left.join(right, (left["token"] == right["token"]) & apart).select(left["token"], "label_a", "label_b", "low_b", "high_b", "most_b")
-    end = lambda x: known.select("token", *(F.col(c).alias(f"{d}_{x}" if d else x) for c, d in (("label", "label"), ("set", ""), ("n", "n"), ("kept", "kept"))))
+    end = lambda x: known.select("token", *(F.col(c).alias(f"{d}_{x}" if d else x) for c, d in (("label", "label"), ("set", ""), ("n", "n"), ("rest", "rest"))))
     fits = F.expr(f"{den} * n_a >= {num} * low_b AND {den} * high_b >= {num} * n_a")
-    fits &= _hopeful(F.least("kept_a", "most_b"), F.greatest("n_a", "high_b"), F.least("n_a", "low_b"), num, den)
-    able = _sized(num, den) & _enough(F.least("kept_a", "kept_b"), num, den)
+    fits &= _hopeful(F.least("rest_a", "most_b"), F.greatest("n_a", "high_b"), F.least("n_a", "low_b"), num, den)
+    able = _sized(num, den) & _enough(F.least("rest_a", "rest_b"), num, den)
     cross = meet.join(end("a"), ["token", "label_a"]).filter(fits).join(end("b"), ["token", "label_b"]).filter(able)
-    counted = cross.groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.count(F.lit(1)).alias("common"))
-    pairs = stored(counted.filter(_enough(F.col("common"), num, den)).select("a", "b", "n_a", "n_b"))
-    new = stored(compared(pairs, fetched(pairs), num, den))
+    new = linked(cross.select("a", "b").distinct())
     if new.limit(1).count():
         labels = components(links.union(new))
     named = classes.join(labels, "set", "left").select("set", "least", F.coalesce("label", "set").alias("label"))
