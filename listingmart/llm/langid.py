@@ -21,10 +21,11 @@ from pyspark.sql import functions as F
 from listingmart.llm import samples
 from listingmart.llm.common import need
 
-# Labelled documents of a language, and in all, that are used at most.
-PER_LANG, SAMPLE = 600, 2000
+# Labelled documents of a language, and in all, that are used at most; and of a language even beyond that.
+PER_LANG, SAMPLE, LEAST = 600, 2000, 100
 BUCKETS = 1 << 12  # for pairs, and as many for triples
 EPOCHS, RATE = 150, 0.05
+TOGETHER = 512  # rows of the feature table that are dense at once
 UNKNOWN, AMBIGUOUS = "und", 0.5
 # Below this score a text is rejected by a filter: hardly better than any language by chance.
 REJECTED = 0.3
@@ -92,14 +93,41 @@ class Model:
     weights: np.ndarray
 
 
-def _frequencies(texts: list[str]) -> np.ndarray:
-    out = np.zeros((len(texts), 2 * BUCKETS), np.float32)
-    for i, text in enumerate(texts):
-        ids, _, count = grams([text])
-        own = ids[ids >= 0]
-        if len(own):
-            out[i] = np.bincount(own, minlength=2 * BUCKETS) / max(1, int(count[0]))
-    return out
+class _Rows:
+    """Sparse table of the share of each bucket in each text; a few rows at a time are made dense."""
+
+    def __init__(self, texts: list[str]) -> None:
+        ends, at, share = [0], [], []
+        for text in texts:
+            ids, _, count = grams([text])
+            own = np.bincount(ids[ids >= 0], minlength=2 * BUCKETS)
+            at.append(np.flatnonzero(own).astype(np.uint16))
+            share.append((own[at[-1]] / max(1, int(count[0]))).astype(np.float32))
+            ends.append(ends[-1] + len(at[-1]))
+        self.ends = np.array(ends)
+        self.at = np.concatenate(at) if at else np.zeros(0, np.uint16)
+        self.share = np.concatenate(share) if share else np.zeros(0, np.float32)
+        self.held = np.zeros((min(TOGETHER, len(texts)), 2 * BUCKETS), np.float32)
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def scaled(self) -> np.ndarray:
+        """The deviation of each bucket, by which its shares are divided."""
+        n = max(1, len(self))
+        mean = np.bincount(self.at, self.share, 2 * BUCKETS) / n
+        square = np.bincount(self.at, self.share.astype(np.float64) ** 2, 2 * BUCKETS) / n
+        scale = (np.sqrt(np.maximum(square - mean * mean, 0)) + 1e-4).astype(np.float32)
+        self.share /= scale[self.at]
+        return scale
+
+    def dense(self, start: int, end: int) -> Iterator[tuple[slice, np.ndarray]]:
+        for a in range(start, end, TOGETHER):
+            b = min(end, a + TOGETHER)
+            own, part = slice(self.ends[a], self.ends[b]), self.held[: b - a]
+            part[:] = 0
+            part[np.repeat(np.arange(b - a), np.diff(self.ends[a : b + 1])), self.at[own]] = self.share[own]
+            yield slice(a, b), part
 
 
 def fit(texts: list[str], langs: list[str]) -> Model:
@@ -112,26 +140,28 @@ def fit(texts: list[str], langs: list[str]) -> Model:
         n = int(rng.integers(20, 200))
         at = int(rng.integers(0, max(1, len(t) - n)))
         short.append(t[at : at + n])
-    # Every eighth row tests; rows are put in that order at once, so that both parts are views of one table.
+    # Every eighth row tests; rows are put in that order at once, so that both parts are ranges of one table.
     passages, names_of = texts + short, [*langs, *langs]
     order = sorted(range(len(passages)), key=lambda i: (i % 8 == 7, i))
-    rows = _frequencies([passages[i] for i in order])
+    rows = _Rows([passages[i] for i in order])
     known = codes[[names.index(names_of[i]) for i in order]].astype(np.float32) if names else np.zeros((0, codes.shape[1]), np.float32)
-    mean = rows.mean(0) if len(rows) else np.zeros(2 * BUCKETS, np.float32)
-    square = np.einsum("ij,ij->j", rows, rows) / max(1, len(rows))
-    scale = np.sqrt(np.maximum(square - mean * mean, 0)) + 1e-4
-    rows /= scale
+    scale = rows.scaled()
     cut = len(rows) - len(rows) // 8
-    x, y = rows[:cut], known[:cut]
     w, b = np.zeros((2 * BUCKETS, codes.shape[1]), np.float32), np.zeros(codes.shape[1], np.float32)
     first, second = [np.zeros_like(p) for p in (w, b)], [np.zeros_like(p) for p in (w, b)]
-    for step in range(1, EPOCHS + 1 if len(x) else 1):
-        error = -y / (1 + np.exp(np.clip(y * (x @ w + b), -30, 30))) / len(x)
-        for p, g, m, v in zip((w, b), (x.T @ error + 1e-5 * w, error.sum(0)), first, second, strict=True):
+    for step in range(1, EPOCHS + 1 if cut else 1):
+        slopes = [1e-5 * w, np.zeros_like(b)]
+        for own, x in rows.dense(0, cut):
+            y = known[own]
+            error = -y / (1 + np.exp(np.clip(y * (x @ w + b), -30, 30))) / cut
+            slopes[0] += x.T @ error
+            slopes[1] += error.sum(0)
+        for p, g, m, v in zip((w, b), slopes, first, second, strict=True):
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
             p -= RATE * 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    right = ((rows[cut:] @ w + b) * known[cut:] > 0).mean(0) if cut < len(rows) else np.full(codes.shape[1], 0.9)
+    hits = sum((((x @ w + b) * known[own] > 0).sum(0) for own, x in rows.dense(cut, len(rows))), np.zeros(codes.shape[1]))
+    right = hits / (len(rows) - cut) if cut < len(rows) else np.full(codes.shape[1], 0.9)
     right = np.clip(right, 0.5, 0.99)
     return Model(names, codes, (w / scale[:, None]).astype(np.float32), b, np.log(right / (1 - right)))
 
@@ -179,11 +209,11 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
     return [model.langs[k] if n else UNKNOWN for k, n in zip(best.tolist(), letters.tolist(), strict=True)], np.where(letters > 0, score, 0.0)
 
 
-def model(docs: DataFrame, per_lang: int = PER_LANG, most: int = SAMPLE) -> Model:
-    """Fit on a bounded sample of documents that are not held out, by language. None: every text is unknown."""
+def model(docs: DataFrame, per_lang: int = PER_LANG, most: int = SAMPLE, least: int = LEAST) -> Model:
+    """Fit on a sample of documents that are not held out, evenly by language. None: every text is unknown."""
     need(docs, "doc_id", "text", "lang")
     known = docs.filter(F.col("text").isNotNull()).select("doc_id", F.col("lang").alias("label"))
-    table = samples.labelled(docs, known, per_lang, most)
+    table = samples.labelled(docs, known, per_lang, most, least)
     return fit(table.column("text").to_pylist(), table.column("label").to_pylist())
 
 
