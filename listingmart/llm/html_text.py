@@ -170,10 +170,30 @@ _MARK = re.compile(
 )
 _ENDS = {t: re.compile(rf"</{t}\b[^>]*>", re.IGNORECASE) for t in SKIPPED}
 _NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-_HIDDEN = re.compile(r"""display\s*:\s*none|visibility\s*:\s*hidden|\bhidden\b(?!\s*=\s*["']?until)|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^\s/=]++)\s*+(?:=\s*+(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|(\S++)))?""")
+_MAY_HIDE = re.compile("hidden|display", re.IGNORECASE)
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.DOTALL)
 _PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 
+def _hidden(attributes: str) -> bool:
+    """Whether a tag's attributes hide it: `hidden` but not until found, `aria-hidden` true, or a style that shows nothing."""
+    if not _MAY_HIDE.search(attributes):
+        return False
+    values: dict[str, str] = {}
+    for name, *value in _ATTRIBUTE.findall(attributes):
+        values.setdefault(name.lower(), html.unescape("".join(value)).strip().lower())
+    if values.get("hidden", "until-found") != "until-found" or values.get("aria-hidden") == "true":
+        return True
+    style: dict[str, tuple[bool, str]] = {}
+    for declared in _COMMENT.sub(" ", values.get("style", "")).split(";"):
+        name, _, value = declared.partition(":")
+        value, _, flag = (part.strip() for part in value.partition("!"))
+        if flag or not style.get(name.strip(), (False, ""))[0]:
+            style[name.strip()] = (bool(flag), value)
+    return style.get("display", (False, ""))[1] == "none" or style.get("visibility", (False, ""))[1] == "hidden"
+
+
 def _place(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
     """Whether a container says that it is not the article, and that it is."""
     away, article = tag in AWAY_TAGS or (tag == "header" and not inside), tag in ARTICLE_TAGS
@@ -182,7 +202,7 @@ def _place(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
         article |= bool(names & ARTICLE_NAMES) and not names & AWAY_NAMES
         if tag not in ARTICLE_TAGS:
             away |= bool(names & AWAY_NAMES) or (bool(names & HEADER_NAMES) and not inside and not article)
-        away |= bool(_HIDDEN.search(attributes))
+        away |= _hidden(attributes)
     return away, article
 
 
