@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,6 +27,14 @@ BLOCKS = frozenset(
 )
 CONTAINERS = BLOCKS - frozenset("p hr html body title option".split()) | {"span", "a", "button", "label"}
 SKIPPED = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "video", "audio", "select", "textarea", "title", "button", "xmp", "noframes")
+# Containers without an end tag: an opening tag closes the open ones named here, back to the last of those in WALLS.
+ROW, PART = ("tr", "td", "th", "caption"), ("thead", "tbody", "tfoot")
+SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ROW[1:], "th": ROW[1:], "tr": ROW, **dict.fromkeys(PART, (*PART, *ROW))}
+WALLS = {"li": ("wall", "dt", "dd"), "dt": ("wall", "li"), "dd": ("wall", "li"), **dict.fromkeys((*ROW, *PART), ("table",))}
+# An end tag is void beyond the last of these: of a list item its list, of a part of a table its table, of others a cell.
+LIMITS = {"li": ("cell", "ul", "ol"), **dict.fromkeys((*ROW, *PART), ("table",)), **dict.fromkeys(("span", "label"), ("special",))}
+# The end tag of a section of the page closes it wherever it was opened, also from within an unclosed table.
+SECTIONS = frozenset("article aside footer header main nav section form dialog table".split())
 AWAY_TAGS = frozenset("nav aside footer form menu dialog".split())
 ARTICLE_TAGS = frozenset("article main".split())
 AWAY_NAMES = frozenset(
@@ -164,6 +173,20 @@ def trained() -> Tree:
     return grow(table[:, :-1], table[:, -1])
 
 
+def _kinds(tag: str) -> tuple[str, ...]:
+    """Lists of open containers that a tag is in: its own, and those of tags that bound a search."""
+    kinds = [tag]
+    if tag in BLOCKS:
+        kinds.append("special")
+        if tag not in ("address", "div", "li", "dt", "dd"):
+            kinds.append("wall")
+    if tag in ("table", "td", "th", "caption"):
+        kinds.append("cell")
+    return tuple(kinds)
+
+
+_KINDS = {t: _kinds(t) for t in CONTAINERS}
+
 _MARK = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'"<>])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""",
     re.DOTALL,
@@ -210,6 +233,8 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
     """(text, words, words in links, away, inside) of a page's flat blocks, empty ones left out."""
     found: list[tuple[str, int, int, bool, bool]] = []
     stack: list[tuple[str, bool, bool]] = []
+    # Places in the stack by tag and by kind, so that no search walks it.
+    places: defaultdict[str, list[int]] = defaultdict(list)
     parts: list[str] = []
     away = inside = False
     link, linked = 0, 0
@@ -223,6 +248,20 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
         parts.clear()
         linked = 0
 
+    def last(kinds: tuple[str, ...]) -> int:
+        return max((places[kind][-1] for kind in kinds if places[kind]), default=-1)
+
+    def leave(k: int) -> None:
+        """Close the containers from place ``k`` on."""
+        nonlocal away, inside
+        if stack[k][1:] != (away, inside):
+            close()
+        _, away, inside = stack[k]
+        for tag, _, _ in stack[k:]:
+            for kind in _KINDS[tag]:
+                places[kind].pop()
+        del stack[k:]
+
     while at < n:
         mark = _MARK.search(page, at)
         text = page[at : mark.start() if mark else n]
@@ -252,19 +291,22 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
         if tag in CONTAINERS:
             if not closing:
                 if not attributes.endswith("/"):
-                    if tag not in BLOCKS and _place(tag, attributes, inside)[0]:
-                        close()
+                    if tag in SIBLINGS:
+                        bound = last(WALLS[tag])
+                        open_ = [k for sibling in SIBLINGS[tag] if (k := last((sibling,))) > bound]
+                        if open_:
+                            leave(min(open_))
                     a, b = _place(tag, attributes, inside)
+                    if tag not in BLOCKS and a:
+                        close()
+                    for kind in _KINDS[tag]:
+                        places[kind].append(len(stack))
                     stack.append((tag, away, inside))
                     away, inside = away or a, inside or (b and not away and not a)
             else:
-                for k in range(len(stack) - 1, max(-1, len(stack) - 60), -1):
-                    if stack[k][0] == tag:
-                        if stack[k][1:] != (away, inside):
-                            close()
-                        _, away, inside = stack[k]
-                        del stack[k:]
-                        break
+                k = last((tag,))
+                if k >= 0 and (tag in SECTIONS or k > last(tuple(kind for kind in LIMITS.get(tag, ("cell",)) if kind != tag))):
+                    leave(k)
     close()
     return found
 

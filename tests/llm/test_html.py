@@ -26,3 +26,42 @@ def test_shown_containers_keep_their_text(attributes):
 @pytest.mark.parametrize("attributes", HIDDEN)
 def test_hidden_containers_lose_their_text(attributes):
     assert text(f"<article><p>{BODY}</p><div {attributes}><p>Not seen {BODY}</p></div></article>") == BODY.strip()
+
+
+MENUS = {
+    "li": "<ul>" + "<li>Item" * 200 + "</ul>",
+    "li without the list's end": "<ul>" + "<li><a href=/>Item</a>" * 200,
+    "dt": "<dl>" + "<dt>Word<dd>Sense" * 100 + "</dl>",
+    "td": "<table>" + "<tr><td>a<td>b" * 100 + "</table>",
+    "parts": "<table>" + "<tbody><tr><th>a<td>b" * 100,
+    "div": "<div>" * 200,
+}
+
+
+@pytest.mark.parametrize("menu", MENUS.values(), ids=list(MENUS))
+@pytest.mark.parametrize("tag", ["nav", "aside"])
+def test_a_menu_of_unclosed_items_ends(menu, tag):
+    assert text(f"<{tag}>{menu}</{tag}><article><p>{BODY}</p></article>") == BODY.strip()
+
+
+@pytest.mark.parametrize("menu", MENUS.values(), ids=list(MENUS))
+def test_an_article_with_unclosed_items_ends(menu):
+    found = html_text.blocks(f"<article><p>{BODY}</p>{menu}</article><div><p>Behind it</p></div>")
+    assert found[0][4] and found[-1] == ("Behind it", 2, 0, False, False)
+
+
+def test_items_close_only_their_own_siblings():
+    found = {b[0]: b[3] for b in html_text.blocks('<ul><li class="share">a<ul><li>b<li>c</ul>d<li>e</ul>')}
+    assert found == {"a": True, "b": True, "c": True, "d": True, "e": False}
+    found = {b[0]: b[3] for b in html_text.blocks('<table><tr><td class="share">a<table><tr><td>b<td>c<tr><td>d</table>e<td>f<tr><td>g</table>h')}
+    assert found == {"a": True, "b": True, "c": True, "d": True, "e": True, "f": False, "g": False, "h": False}
+    found = {b[0]: b[3] for b in html_text.blocks('<dl><dt class="share">a<dd>b<dt>c</dl><div class="share"><table><tr><td>d</div>e</table>f</div>g')}
+    assert found == {"a": True, "b": False, "c": False, "d": True, "e": True, "f": True, "g": False}
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    begin = time.monotonic()
+    assert text("<nav>" + "<div>" * 100_000 + "<ul>" + "<li>x</i></b></h1>" * 50_000 + f"</nav><article><p>{BODY}</p></article>") == BODY.strip()
+    assert time.monotonic() - begin < 20
