@@ -25,12 +25,18 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
-CONTAINERS = BLOCKS - frozenset("p hr html body title option".split()) | {"span", "a", "button", "label"}
-SKIPPED = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "video", "audio", "select", "textarea", "title", "button", "xmp", "noframes")
+# Their content is text up to their end tag, or to the end of the page; that of the others is markup that is not shown as text.
+RAW = ("script", "style", "textarea", "title", "iframe", "xmp", "noframes")
+MUTE = frozenset("noscript template svg math object canvas video audio select button".split())
+CONTAINERS = (BLOCKS - frozenset("p hr html body title option".split())) | MUTE | {"span", "a", "label"}
 # Containers without an end tag: an opening tag closes the open ones named here, back to the last of those in WALLS.
 ROW, PART = ("tr", "td", "th", "caption"), ("thead", "tbody", "tfoot")
-SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ROW[1:], "th": ROW[1:], "tr": ROW, **dict.fromkeys(PART, (*PART, *ROW))}
-WALLS = {"li": ("wall", "dt", "dd"), "dt": ("wall", "li"), "dd": ("wall", "li"), **dict.fromkeys((*ROW, *PART), ("table",))}
+SIBLINGS = {"button": ("button",), "select": ("select",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ROW[1:], "th": ROW[1:], "tr": ROW, **dict.fromkeys(PART, (*PART, *ROW))}
+WALLS = {
+    **{t: ("cell", *sorted(MUTE - {t})) for t in ("button", "select")},
+    **{"li": ("wall", "dt", "dd"), "dt": ("wall", "li"), "dd": ("wall", "li")},
+    **dict.fromkeys((*ROW, *PART), ("table", "mute")),
+}
 # An end tag is void beyond the last of these: of a list item its list, of a part of a table its table, of others a cell.
 LIMITS = {"li": ("cell", "ul", "ol"), **dict.fromkeys((*ROW, *PART), ("table",)), **dict.fromkeys(("span", "label"), ("special",))}
 # The end tag of a section of the page closes it wherever it was opened, also from within an unclosed table.
@@ -180,6 +186,8 @@ def _kinds(tag: str) -> tuple[str, ...]:
         kinds.append("special")
         if tag not in ("address", "div", "li", "dt", "dd"):
             kinds.append("wall")
+    if tag in MUTE:
+        kinds += ["mute", "wall"]
     if tag in ("table", "td", "th", "caption"):
         kinds.append("cell")
     return tuple(kinds)
@@ -191,7 +199,7 @@ _MARK = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'"<>])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""",
     re.DOTALL,
 )
-_ENDS = {t: re.compile(rf"</{t}\b[^>]*>", re.IGNORECASE) for t in SKIPPED}
+_ENDS = {t: re.compile(rf"</{t}\b[^>]*>", re.IGNORECASE) for t in RAW}
 _NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _ATTRIBUTE = re.compile(r"""([^\s/=]++)\s*+(?:=\s*+(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|(\S++)))?""")
 _MAY_HIDE = re.compile("hidden|display", re.IGNORECASE)
@@ -238,6 +246,8 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
     parts: list[str] = []
     away = inside = False
     link, linked = 0, 0
+    # Whether a paragraph is open, outside what is mute and within it.
+    paragraph = within = False
     at, n = 0, len(page)
 
     def close() -> None:
@@ -265,7 +275,8 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
     while at < n:
         mark = _MARK.search(page, at)
         text = page[at : mark.start() if mark else n]
-        if text:
+        muted = bool(places["mute"])
+        if text and not muted:
             text = html.unescape(text) if "&" in text else text
             parts.append(text)
             if link:
@@ -282,12 +293,22 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
             at = end.end() if end else at if attributes.endswith("/") else n
             parts.append(" ")
             continue
-        if tag in BLOCKS:
-            close()
-        elif tag == "br":
+        if muted and tag == "p":
+            if closing and paragraph and not within:
+                leave(places["mute"][0])
+                muted = False
+            within = not closing
+        if not muted:
+            if tag in BLOCKS:
+                close()
+                paragraph = tag == "p" and not closing
+            elif tag == "br":
+                parts.append(" ")
+            if tag == "a":
+                link = 0 if closing else 1
+        if tag in MUTE and not closing:
             parts.append(" ")
-        if tag == "a":
-            link = 0 if closing else 1
+            within &= muted
         if tag in CONTAINERS:
             if not closing:
                 if not attributes.endswith("/"):
@@ -296,7 +317,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
                         open_ = [k for sibling in SIBLINGS[tag] if (k := last((sibling,))) > bound]
                         if open_:
                             leave(min(open_))
-                    a, b = _place(tag, attributes, inside)
+                    a, b = (False, False) if muted or tag in MUTE else _place(tag, attributes, inside)
                     if tag not in BLOCKS and a:
                         close()
                     for kind in _KINDS[tag]:
@@ -306,6 +327,13 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
             else:
                 k = last((tag,))
                 if k >= 0 and (tag in SECTIONS or k > last(tuple(kind for kind in LIMITS.get(tag, ("cell",)) if kind != tag))):
+                    if muted and k < places["mute"][0]:
+                        # The end of what encloses a mute element without an end tag.
+                        if tag in BLOCKS:
+                            close()
+                            paragraph = False
+                        elif tag == "a":
+                            link = 0
                     leave(k)
     close()
     return found

@@ -65,3 +65,22 @@ def test_deep_pages_take_linear_time():
     begin = time.monotonic()
     assert text("<nav>" + "<div>" * 100_000 + "<ul>" + "<li>x</i></b></h1>" * 50_000 + f"</nav><article><p>{BODY}</p></article>") == BODY.strip()
     assert time.monotonic() - begin < 20
+
+
+@pytest.mark.parametrize("tag", sorted("button select object video audio canvas svg math template noscript".split()))
+def test_a_mute_element_without_its_end_ends_with_what_encloses_it(tag):
+    for page in (f"<article><div><{tag}>Not seen</div><p>{BODY}</p></article>", f"<article><p>Start <{tag}>Not seen</p><p>{BODY}</p></article>", f"<nav><{tag}>Not seen</nav><article><p>{BODY}</p></article>"):
+        assert text(page).removeprefix("Start ") == BODY.strip()
+    found = html_text.blocks(f'<table><tr><td>a<{tag} class="share"><div class="ad"><p>x</p></div>x</td><td>b</table>')
+    assert [(b[0], b[3]) for b in found] == [("a", False), ("b", False)]
+    # With its end it neither cuts a block nor shows anything, whatever it holds.
+    found = html_text.blocks(f"<div><p>a <a href=/>b</a> <{tag} hidden><ul><li>x<li>y</ul><p>x</p><a href=/>z</a><{tag}>x</{tag}></{tag}>c d</p></div>")
+    assert [b[:3] for b in found] == [("a b c d", 4, 1)] if tag not in ("button", "select") else found[0][0].startswith("a b")
+
+
+def test_raw_text_without_its_end_runs_to_the_end_of_the_page():
+    assert text(f"<article><p>{BODY}</p><script>if (a < b) '</p>'<p>Not seen</article>") == BODY.strip()
+
+
+def test_a_second_button_closes_the_first():
+    assert text(f"<article><button>One<button>Two</button><p>{BODY}</p></article>") == BODY.strip()
