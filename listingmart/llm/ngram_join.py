@@ -216,7 +216,7 @@ def similar(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den: int = DEN
     """(id, n_shingles, component_id) for ``docs`` (id, text): one row per row, in no order.
 
     Null and empty texts, and texts without a word, have no shingle and link with nothing. Rows with a null id get a
-    null component and lend their id to no other row. Repeated rows are copies. ``num / den`` is compared in integers.
+    null component and lend their id to no other row, but their texts link others. Repeated rows are copies. ``num / den`` is compared in integers.
     """
     need(docs, "id", "text")
     docs = docs.select("id", "text")
@@ -224,6 +224,7 @@ def similar(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den: int = DEN
     rows = described.filter("token IS NULL").select("id", "n", "set")
     heavy = heaviest(described)
     classes = stored(rows.filter("n > 0").groupBy("set").agg(F.min("id").alias("least"), F.max("n").alias("n")))
+    nameless = bool(classes.filter("least IS NULL").limit(1).count())
 
     # Both uses of the spread rows read the same columns, so one exchange serves them. A heavy token lies in several parts.
     spread = prefixes(docs, heavy, size, num, den).repartition("token", "part")
@@ -237,10 +238,14 @@ def similar(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den: int = DEN
     sets = stored(sized)
 
     def fetched(pairs: DataFrame) -> DataFrame:
-        """Payloads of the sets in pairs, from one document of each."""
-        names = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
-        ids = stored(names.join(classes, "set").select(F.col("least").alias("id")).distinct())
-        return stored(payloads(attach(docs, ids, ["id"], "left_semi", "id"), heavy, size, num, den)).dropDuplicates(["set"])
+        """Payloads of the sets in pairs, from one document of each; of sets that no id leads to, from the rows without one."""
+        names = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct().join(classes, "set")
+        ids = stored(names.filter("least IS NOT NULL").select(F.col("least").alias("id")).distinct())
+        found = payloads(attach(docs, ids, ["id"], "left_semi", "id"), heavy, size, num, den)
+        if nameless:
+            wanted = stored(names.filter("least IS NULL").select("set"))
+            found = found.union(attach(payloads(docs.filter("id IS NULL"), heavy, size, num, den), wanted, ["set"], "left_semi", "set"))
+        return stored(found).dropDuplicates(["set"])
 
     # Step 3, first the stars.
     heads = members.filter("part > 0").groupBy("token").agg(F.min("low").alias("a"))
