@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from listingmart.llm import words
 from listingmart.llm.common import attach, need, stored
@@ -218,6 +219,25 @@ def similar(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den: int = DEN
     Null and empty texts, and texts without a word, have no shingle and link with nothing. Rows with a null id get a
     null component and lend their id to no other row, but their texts link others. Repeated rows are copies. ``num / den`` is compared in integers.
     """
+    return classified(docs, size, num, den).select("id", "n_shingles", "component_id")
+
+
+def with_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """``docs`` with the fingerprint ``set`` of each row's shingles, 0 for a text without a word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, found in _texts(batch, size):
+                part = batch.slice(first, len(found))
+                names = pa.array([_fingerprint(t) if len(t) else 0 for t in found], pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns, names], [*batch.schema.names, "set"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField("set", T.LongType())]))
+
+
+def classified(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
+    """The rows of `similar` with the fingerprint of their ``set`` (0 without a word) and ``head``, the set of their component
+    that has its least id, the least set if that id repeats; null if no row of the component has an id."""
     need(docs, "id", "text")
     docs = docs.select("id", "text")
     described = stored(describe(docs, size))
@@ -296,8 +316,8 @@ def similar(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den: int = DEN
     if new.limit(1).count():
         labels = components(links.union(new))
     named = classes.join(labels, "set", "left").select("set", "least", F.coalesce("label", "set").alias("label"))
-    names = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    linked = named.join(names, "label").filter("component_id IS NOT NULL").select("set", "component_id")
+    names = named.groupBy("label").agg(F.min("least").alias("component_id"), F.min(F.when(F.col("least").isNotNull(), F.struct("least", "set")))["set"].alias("head"))
+    linked = named.join(names, "label").filter("component_id IS NOT NULL").select("set", "component_id", "head")
     out = rows.join(linked, ["set"], "left")
     whose = F.when(F.col("id").isNull(), F.col("id")).otherwise(F.coalesce("component_id", "id"))
-    return out.select("id", F.col("n").alias("n_shingles"), whose.alias("component_id"))
+    return out.select("id", F.col("n").alias("n_shingles"), whose.alias("component_id"), "set", "head")
