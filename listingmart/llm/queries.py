@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listingmart.llm import ann, chat, html_text, langid, mixing, ngram_join, packing, topk, toxicity, warc
+from listingmart.llm import alignment, ann, chat, html_text, langid, mixing, ngram_join, packing, secrets, topk, toxicity, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,6 +72,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.scored(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.scanned(table(spark, sf_dir, "documents")))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
 def registered() -> dict[str, Query]:
     return {
         "op1_ann": op1_ann,
@@ -84,4 +96,7 @@ def registered() -> dict[str, Query]:
         "op8_topk": op8_topk,
         "op9_ngram_join": op9_ngram_join,
         "op10_mixing": op10_mixing,
+        "op11_alignment": op11_alignment,
+        "op12_secrets": op12_secrets,
+        "op13_whitening": op13_whitening,
     }
