@@ -3,8 +3,11 @@
 The built-in exact percentile keeps every distinct value of a group in one task. Here a group is
 first folded to a histogram of distinct values (pre-aggregated before its shuffle, spread by value),
 then to coarse buckets whose number does not depend on the data size. Running counts over the
-buckets tell which of them hold the wanted ranks; only the distinct values of those buckets are
-sorted. A copied value is one histogram row however often it occurs.
+buckets tell which of them hold the wanted ranks. Each of those is cut linearly between its least and
+its largest value, counted again and narrowed to the cuts that hold a rank, `LEVELS` times; a bucket
+has no more doubles than that many cuts tell apart but for a few thousand, so no task ever sorts more
+than `CUTS` rows of a group, whatever the values. A copied value is one histogram row however often it
+occurs.
 """
 
 from __future__ import annotations
@@ -20,6 +23,14 @@ BUCKETS_PER_LOG_UNIT = 1024
 LOG_SPAN = 1000 * BUCKETS_PER_LOG_UNIT
 NULL_BUCKET = -10 * LOG_SPAN
 
+# A bucket that holds a rank is cut into so many parts, so many times. A coarse bucket spans at most 2^43
+# doubles; after two cuts a part spans about 2^13.
+CUTS = 1 << 15
+LEVELS = 2
+
+# Where rank targets are joined by shuffle, the values of a bucket are spread over so many tasks.
+SALTS = 16
+
 # Most rank targets that may be broadcast to the histogram side.
 MAX_BROADCAST_TARGETS = 100_000
 
@@ -83,18 +94,20 @@ def histogram_quantiles(
     fine = hist.selectExpr(
         *names, "v", "n", "if(v IS NULL, 0L, n) AS w", f"{coarse_bucket('v')} AS bucket"
     )
-    cell = f"struct({', '.join([*names, 'bucket'])}) AS cell"
     coarse = fine.groupBy(*keys, "bucket").agg(
         F.expr("sum(n) AS b_rows"),
         F.expr("sum(w) AS b_n"),
+        F.expr("count(1) AS b_values"),
         F.expr("sum(v * n) AS b_sum"),
         F.expr("min(v) AS b_min"),
         F.expr("max(v) AS b_max"),
     )
     ranked = coarse.selectExpr(
-        *names,
-        "bucket",
+        f"struct({', '.join([*names, 'bucket'])}) AS cell",
         "b_n",
+        "b_values",
+        "b_min AS lo",
+        "b_max AS hi",
         f"sum(b_n) OVER ({group} ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS through",
         f"sum(b_rows) OVER ({group}) AS n_rows",
         f"sum(b_n) OVER ({group}) AS total",
@@ -102,18 +115,59 @@ def histogram_quantiles(
         f"min(b_min) OVER ({group}) AS min",
         f"max(b_max) OVER ({group}) AS max",
     )
-    holds_rank = " OR ".join(f"({r} >= through - b_n AND {r} < through)" for r in ranks)
+    few = max_groups is not None and max_groups * (2 * len(probs) + 1) <= MAX_BROADCAST_TARGETS
+    held = " OR ".join(f"({r} >= through - b_n AND {r} < through)" for r in ranks)
     stats = ("n_rows", "total", "total_sum", "min", "max")
-    targets = ranked.filter(f"total = 0 OR {holds_rank}").selectExpr(
-        cell, "through - b_n AS before", *stats
-    )
-    if max_groups is not None and max_groups * (2 * len(probs) + 1) <= MAX_BROADCAST_TARGETS:
-        targets = F.broadcast(targets)
 
-    inside = "PARTITION BY cell ORDER BY v ROWS UNBOUNDED PRECEDING"
-    placed = fine.selectExpr(*names, "v", "w", cell).join(targets, "cell").selectExpr(
-        *names, *stats, "v", "w", f"before + sum(w) OVER ({inside}) AS through"
-    )
+    # Targets are (cell, b_values, before, lo, hi, statistics): an interval of values in a bucket that
+    # holds a rank, and how many values of its group come before it. Intervals of a bucket do not overlap.
+    def holding_rank(counted: DataFrame) -> DataFrame:
+        return counted.filter(f"total = 0 OR {held}").selectExpr("cell", "b_values", "through - b_n AS before", "lo", "hi", *stats)
+
+    cells = fine.selectExpr(f"struct({', '.join([*names, 'bucket'])}) AS cell", "v", "w")
+
+    def within(targets: DataFrame) -> DataFrame:
+        """Histogram rows with the target interval they lie in."""
+        inside = F.expr("(v >= lo AND v <= hi) OR (v IS NULL AND total = 0)")
+        targets = targets.drop("b_values")
+        if few:
+            right = F.broadcast(targets.withColumnRenamed("cell", "t_cell"))
+            return cells.join(right, (F.col("cell") == F.col("t_cell")) & inside).drop("t_cell")
+        left = cells.selectExpr("*", f"struct(cell, pmod(hash(v), {SALTS})) AS part")
+        salts = f"explode(sequence(0, {SALTS - 1})) AS salt"
+        right = targets.selectExpr("*", salts).selectExpr("struct(cell, salt) AS t_part", "before", "lo", "hi", *stats)
+        return left.join(right, (F.col("part") == F.col("t_part")) & inside).drop("part", "t_part")
+
+    # Only intervals with too many values are cut; where there are none, adaptive execution finds the
+    # cuts' input empty and leaves their stages out.
+    targets = holding_rank(ranked)
+    narrow = targets.filter(f"b_values <= {CUTS}")
+    share = f"if(hi - lo > 0 AND hi - lo < double('inf'), floor((v - lo) / (hi - lo) * {CUTS}), 0L)"
+    for level in range(LEVELS):
+        cut = within(targets.filter(f"b_values > {CUTS}")).selectExpr("*", f"least({share}, {CUTS - 1}L) AS cut")
+        counted = cut.groupBy("cell", "lo", "cut").agg(
+            F.expr("sum(w) AS b_n"),
+            F.expr("count(1) AS b_values"),
+            F.expr("min(v) AS c_min"),
+            F.expr("max(v) AS c_max"),
+            *(F.expr(f"max({c}) AS {c}") for c in ("before", *stats)),
+        )
+        targets = holding_rank(
+            counted.selectExpr(
+                "cell",
+                "c_min AS lo",
+                "c_max AS hi",
+                "b_n",
+                "b_values",
+                "before + sum(b_n) OVER (PARTITION BY cell, lo ORDER BY cut ROWS UNBOUNDED PRECEDING) AS through",
+                *stats,
+            )
+        )
+        narrow = narrow.unionByName(targets if level == LEVELS - 1 else targets.filter(f"b_values <= {CUTS}"))
+
+    running = "sum(w) OVER (PARTITION BY cell, lo ORDER BY v ROWS UNBOUNDED PRECEDING)"
+    own = [f"cell.{n} AS {n}" for n in names]
+    placed = within(narrow).selectExpr(*own, *stats, "v", "w", f"before + {running} AS through")
     at_rank = [f"max(if({r} >= through - w AND {r} < through, v, NULL)) AS at{i}" for i, r in enumerate(ranks)]
     picked = placed.groupBy(*keys).agg(
         *(F.expr(e) for e in (*(f"max({s}) AS {s}" for s in stats), *at_rank))

@@ -90,3 +90,43 @@ def test_null_keys_are_a_group_of_the_mart(spark):
     listings = spark.createDataFrame(rows, "city string, price_per_m2 double").selectExpr("DATE'2024-01-01' AS month", "*")
     found = {r["city"]: (r["n_listings"], r["median_ppm2"]) for r in mart_city_month(listings).collect()}
     assert found == {"a": (2, 2.0), None: (1, 5.0)}
+
+
+@pytest.mark.parametrize("max_groups", [None, 3])
+def test_values_in_a_narrow_band_do_not_meet_in_one_task(spark, folder, max_groups):
+    # A million distinct values within 0.2 %, and as many doubles that follow each other.
+    n = 1_000_000
+    band = spark.range(n).selectExpr("'band' AS k", f"1000D + id * (2D / {n}) AS v")
+    next_to = spark.range(n // 4).selectExpr("'next' AS k", "1D + id * 2.220446049250313e-16D AS v")
+    far = spark.createDataFrame([("odd", float("inf")), ("odd", float("-inf")), ("odd", 5e-324), ("odd", 1e-323)], "k string, v double")
+    df = band.unionByName(next_to).unionByName(far)
+    found = quantiles_of(df, "v", PROBS, ["k"], max_groups=max_groups)
+    rows = {r["k"]: r for r in found.collect()}
+    for k, values in (("band", 1000 + np.arange(n) * (2 / n)), ("next", 1 + np.arange(n // 4) * 2.0**-52)):
+        for name, p in PROBS.items():
+            # The statistic interpolates between two neighbours; both are exact.
+            low, high = (values[int(f((len(values) - 1) * p))] for f in (math.floor, math.ceil))
+            assert low <= rows[k][name] <= high, (k, name)
+        assert rows[k]["n"] == len(values)
+    assert rows["odd"]["median"] == pytest.approx(7.5e-324, abs=5e-324) and rows["odd"]["max"] == math.inf
+
+
+def test_no_window_over_more_than_the_cuts(spark):
+    from listingmart.operators import quantiles as core
+
+    df = spark.range(200_000).selectExpr("1000D + id * 1e-6D AS v")
+    widest = []
+    frame = type(df)
+    plain = frame.selectExpr
+
+    def watched(self, *expr):
+        if any("PARTITION BY cell, lo" in e for e in expr):
+            widest.append(self.groupBy("cell", "lo").count().agg(F.max("count")).first()[0] or 0)
+        return plain(self, *expr)
+
+    frame.selectExpr = watched
+    try:
+        quantiles_of(df, "v", PROBS)
+    finally:
+        frame.selectExpr = plain
+    assert len(widest) == core.LEVELS + 1 and max(widest) <= core.CUTS
