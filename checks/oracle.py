@@ -384,6 +384,12 @@ def statements() -> dict[str, str]:
           FROM long WHERE market = 'sale' ORDER BY month DESC, listing_id LIMIT 10""",
         "preview": " " + listing("sale", COMBINED_WHERE) + " ORDER BY month DESC, listing_id LIMIT 200",
         "csv_round_trip": " " + listing("static", "market = 'sale'"),
+        "mart_after_refresh": mart_rows("sale"),
+        "static_after_refresh": " " + listing("static", "market = 'sale'"),
+        "state_quantiles": " " + " UNION ALL ".join(
+            f"""SELECT city, '{c}' AS metric, count({c}) AS n, {r6(q(c, 0.01), "p01")}, {r6(q(c, 0.5), "median")}, {r6(q(c, 0.99), "p99")}
+              FROM long WHERE market = 'sale' GROUP BY city""" for c in ("price_per_m2", "price", "area_m2")
+        ),
     }
     out |= {f"box_by_{c}": box_by(c) for c in BOX_CATEGORIES}
     out |= {f"yield_by_{c}": yield_by(c) for c in YIELD_CATEGORIES}

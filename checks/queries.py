@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,11 +18,11 @@ from listingmart.functions.fingerprint import FingerprintConfig, add_property_fi
 from listingmart.functions.labels import with_label
 from listingmart.operators import clean, dedup, filters, repeats, stats, trends, yields
 from listingmart.operators.districts import DistrictLayer, assign_district, build_layer
-from listingmart.plans import marts
+from listingmart.plans import incremental, marts
 from listingmart.plans.dataset import store_long_table
 from listingmart.plans.reports import BOX_CATEGORIES, CLIPPED, HISTOGRAM_BINS
 from listingmart.schema import STANDARD_COLUMNS
-from listingmart.sources.tables import export_csv, save_processed, valid_located, work_folder
+from listingmart.sources.tables import export_csv, replace_months, save_processed, valid_located, work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -411,6 +412,45 @@ def q_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back
 
 
+def withdrawn_and_added(spark: SparkSession, sf_dir: str, market: str) -> tuple[str, list[date]]:
+    """A folder with the long table of a market, and with derived tables that were built from an earlier state of it: it
+    lacked some months (the last, one in three others) and had others twice, the second time with prices a tenth higher."""
+    long = long_table(spark, sf_dir, market).drop("market")
+    months = [r.month for r in long.select("month").distinct().orderBy("month").collect()]
+    folder = f"{fixture(spark, sf_dir).folder}/refresh-{uuid.uuid4().hex}"
+    added, again = months[::-1][::3], months[::-1][1::7]
+    before = long.filter(~F.col("month").isin(added))
+    dearer = F.when(F.col("month").isin(again), F.col("price") * 1.1).otherwise(F.col("price"))
+    before = before.withColumn("price", dearer).withColumn("price_per_m2", F.col("price") / F.col("area_m2"))
+    withdrawn = before.filter(F.col("month").isin(again)).withColumn("month", F.add_months("month", 1200))
+    save_processed(before.unionByName(withdrawn), folder, "long", partition_by=("month",))
+    save_processed(dedup.one_row_per_property(spark.read.parquet(f"{folder}/long.parquet")), folder, "static", partition_by=("month",))
+    incremental.refresh_mart(spark, f"{folder}/long.parquet", f"{folder}/state", f"{folder}/mart", months)
+    late = [r.month for r in withdrawn.select("month").distinct().collect()]
+    changed = sorted({*added, *again, *late})
+    replace_months(long.filter(F.col("month").isin(changed)), f"{folder}/long.parquet", changed)
+    return folder, changed
+
+
+def q_mart_after_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, changed = withdrawn_and_added(spark, sf_dir, "sale")
+    incremental.refresh_mart(spark, f"{folder}/long.parquet", f"{folder}/state", f"{folder}/mart", changed)
+    return spark.read.schema(incremental.MART_SCHEMA).parquet(f"{folder}/mart").select(*marts.MART_COLUMNS)
+
+
+def q_state_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles by city over all months, read from the months' merged histograms."""
+    state = incremental.state_of(long_table(spark, sf_dir, "sale"))
+    found = incremental.quantiles_of_state(state, {"p01": 0.01, "median": 0.5, "p99": 0.99}, ["city"])
+    return found.select("city", "metric", "n", "p01", "median", "p99")
+
+
+def q_static_after_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, changed = withdrawn_and_added(spark, sf_dir, "sale")
+    incremental.refresh_static(spark, f"{folder}/long.parquet", f"{folder}/static.parquet", changed)
+    return spark.read.parquet(f"{folder}/static.parquet").withColumn("market", F.lit("sale")).select(*LISTING)
+
+
 def registered() -> dict[str, Query]:
     plain: dict[str, Query] = {
         "clean_counts": q_clean_counts,
@@ -467,6 +507,9 @@ def registered() -> dict[str, Query]:
         "newest_listings": q_newest,
         "preview": q_preview,
         "csv_round_trip": q_csv_round_trip,
+        "mart_after_refresh": q_mart_after_refresh,
+        "state_quantiles": q_state_bounds,
+        "static_after_refresh": q_static_after_refresh,
     }
     plain |= {f"box_by_{c}": q_box_by(c) for c in BOX_CATEGORIES}
     plain |= {f"yield_by_{c}": q_yield_by(c) for c in yields.YIELD_CATEGORIES}

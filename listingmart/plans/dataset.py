@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from listingmart.functions.fingerprint import FingerprintConfig
 from listingmart.operators.clean import clean_base
 from listingmart.operators.districts import DistrictLayer, build_layer
-from listingmart.plans.marts import listing_tables, mart_yield_proxy
+from listingmart.plans.incremental import MART_SCHEMA, STATE_SCHEMA, mart_of_state, state_of
+from listingmart.plans.marts import MART_COLUMNS, listing_tables, mart_yield_proxy
 from listingmart.schema import MARKETS
 from listingmart.sources.geojson import read_districts
 from listingmart.sources.monthly_csv import load_monthly
@@ -47,8 +48,9 @@ def store_long_table(
 
 def build_database(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """Open the stored long tables, derive every analysis table and register them for SQL. Static
-    tables (by month, so that reports on the latest months prune) and marts are stored and opened
-    again, because every later report reads them."""
+    tables, marts and the state they are read from are stored by month, so that reports on the latest
+    months prune and a refresh writes single months, and opened again, because every later report reads
+    them."""
     long = {m: load_processed(spark, folder, LONG_NAME.format(market=m)) for m in MARKETS}
     tables = listing_tables(long["sale"], long["rent"])
     static = {}
@@ -59,12 +61,15 @@ def build_database(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
         tables[name] = static[market]
     tables["listings_static_all"] = static["sale"].unionByName(static["rent"], allowMissingColumns=True)
     marts = [f"mart_city_month_{market}" for market in MARKETS]
-    for name in marts:
-        save_processed(tables[name], folder, name, partition_by=())
-        tables[name] = load_processed(spark, folder, name)
+    for market, name in zip(MARKETS, marts, strict=True):
+        state = f"mart_state_{market}"
+        save_processed(state_of(long[market]), folder, state, partition_by=("month",))
+        save_processed(mart_of_state(load_processed(spark, folder, state, STATE_SCHEMA)), folder, name, partition_by=("month",))
+        tables[name] = load_processed(spark, folder, name, MART_SCHEMA).select(*MART_COLUMNS)
     proxy = "mart_city_month_yield_proxy"
-    save_processed(mart_yield_proxy(*(tables[name] for name in marts)), folder, proxy, partition_by=())
-    tables[proxy] = load_processed(spark, folder, proxy)
+    both = mart_yield_proxy(*(tables[name] for name in marts))
+    save_processed(both, folder, proxy, partition_by=("month",))
+    tables[proxy] = load_processed(spark, folder, proxy, both.schema)
     register_views(tables)
     return tables
 

@@ -12,6 +12,8 @@ from listingmart.sources.tables import union_markets
 
 MART_COLUMNS = ("month", "city", "n_listings", "median_ppm2", "p25_ppm2", "p75_ppm2", "avg_ppm2")
 
+MART_PROBS = {"median_ppm2": 0.5, "p25_ppm2": 0.25, "p75_ppm2": 0.75}
+
 
 def of_market(long: DataFrame, market: str) -> DataFrame:
     """Listings of one market; on the stored table this prunes to its folders."""
@@ -21,13 +23,11 @@ def of_market(long: DataFrame, market: str) -> DataFrame:
 def mart_city_month(listings: DataFrame) -> DataFrame:
     """Listings and price-per-m² quantiles by month and city, over all monthly records.
     Listings without a month or city form groups of their own."""
-    found = quantiles_of(
-        listings,
-        "price_per_m2",
-        {"median_ppm2": 0.5, "p25_ppm2": 0.25, "p75_ppm2": 0.75},
-        ["month", "city"],
-        null_keys=True,
-    )
+    return named_mart(quantiles_of(listings, "price_per_m2", MART_PROBS, ["month", "city"], null_keys=True))
+
+
+def named_mart(found: DataFrame) -> DataFrame:
+    """Group statistics under the mart's column names."""
     return found.select(
         "month",
         "city",

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
+from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 LONG_PARTITIONS = ("market", "month")
 
@@ -37,8 +40,12 @@ def save_processed(
     return path
 
 
-def load_processed(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def load_processed(
+    spark: SparkSession, folder: str, name: str, schema: StructType | str | None = None
+) -> DataFrame:
+    """A stored dataset; with its schema it can be read even when no partition of it has rows."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(f"{folder}/{name}.parquet")
 
 
 # Columns without which a stored listing cannot be keyed.
@@ -72,3 +79,30 @@ def register_views(tables: Mapping[str, DataFrame]) -> None:
     """Make tables available to SQL under their names (SHOW TABLES, DESCRIBE, SELECT)."""
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
+
+
+def replace_months(df: DataFrame, path: str, months: Collection[date]) -> None:
+    """Write rows of the given months over the stored ones. A month without rows loses its partition, which a dynamic
+    overwrite alone would keep. Which months have rows is learned from the write itself."""
+    seen = Observation()
+    observed = df.observe(seen, F.collect_set("month").alias("filled"))
+    (
+        observed.hint("rebalance", "month")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("month")
+        .parquet(path)
+    )
+    try:
+        filled = set(seen.get["filled"])
+    except Py4JJavaError:  # an input that is known to be empty is not run, so nothing was observed
+        filled = {row.month for row in df.select("month").distinct().collect()}
+    for month in set(months) - filled:
+        remove_folder(df.sparkSession, f"{path}/month={month}")
+    df.sparkSession.catalog.refreshByPath(path)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever file system its path names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

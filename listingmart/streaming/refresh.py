@@ -8,7 +8,9 @@ from pyspark.sql.streaming import StreamingQuery
 from listingmart.functions.fingerprint import FingerprintConfig
 from listingmart.operators.clean import clean_base
 from listingmart.operators.districts import DistrictLayer
+from listingmart.plans.incremental import refresh_derived
 from listingmart.sources.monthly_csv import check_file_name, list_csv_files, read_csv_files
+from listingmart.sources.tables import replace_months
 
 FILE_LISTING = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -17,12 +19,6 @@ def _month(path: str):
     return check_file_name(path.rsplit("/", 1)[-1])
 
 
-def remove_folder(spark: SparkSession, path: str) -> None:
-    """Delete a folder in whatever file system its path names."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def refresh_long_table(
     spark: SparkSession,
     raw_folder: str,
@@ -32,6 +28,7 @@ def refresh_long_table(
     layer: DistrictLayer | None = None,
     *,
     cfg: FingerprintConfig | None = None,
+    derived: str | None = None,
 ) -> StreamingQuery:
     """Process the files that are new since the last run, then stop.
 
@@ -39,25 +36,20 @@ def refresh_long_table(
     cleaned again and its partition is replaced, so a repeated batch leaves the same table, and a
     month delivered in several files stays whole. A month whose files hold no valid listing any more
     loses its partition. A file that is written again under its old name does not count as new.
+
+    ``derived`` is the folder that `build_database` filled; its static table and marts then follow (``long_path`` has to
+    be the long table of that folder).
     """
 
-    def replace_months(batch: DataFrame, _: int) -> None:
+    def arrived(batch: DataFrame, _: int) -> None:
         months = {_month(row.path) for row in batch.collect()}
         if not months:
             return
         files = [path for path in list_csv_files(spark, raw_folder) if _month(path) in months]
         long = clean_base(read_csv_files(spark, files, market), layer, cfg=cfg)
-        filled = {row.month for row in long.select("month").distinct().collect()}
-        (
-            long.hint("rebalance", "month")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("month")
-            .parquet(long_path)
-        )
-        # Dynamic overwrite has nothing to write for an empty month, so its old rows would stay.
-        for month in months - filled:
-            remove_folder(spark, f"{long_path}/month={month}")
+        replace_months(long, long_path, months)
+        if derived is not None:
+            refresh_derived(spark, derived, market, months)
 
     arrivals = (
         spark.readStream.format("binaryFile")
@@ -67,7 +59,7 @@ def refresh_long_table(
         .select("path")
     )
     return (
-        arrivals.writeStream.foreachBatch(replace_months)
+        arrivals.writeStream.foreachBatch(arrived)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
