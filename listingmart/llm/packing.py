@@ -19,6 +19,7 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ END = 2
 FILLER_EVERY, FILLER = 10, 128
 # Documents that are partitioned together, on average.
 GROUP = 800
+# Rows, and bytes of text, that are taken at a time.
+SLICE, ENCODED = 500, 512 << 10
 # Units whose ids a Python worker remembers (some 150 bytes each).
 REMEMBERED = 600_000
 
@@ -179,30 +182,32 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
     kind = docs.select("doc_id").schema.simpleString()[7:-1]
     last = np.array([end], "<u4").tobytes()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _ENCODERS:
             _ENCODERS[tokenizer] = Encoder(tokenizer)
         encoder, seen = _ENCODERS[tokenizer], 0
-        for frame in frames:
-            rows = []
-            for first, raws in words.batches(frame["text"].tolist(), 2 << 20):
-                for i, found in enumerate(encoder.encode(raws), first):
-                    ids = found.astype("<u4").tobytes() + last
-                    seen += 1
-                    n = len(ids) // 4
-                    whole = n - n % capacity
-                    step = FILLER if seen % FILLER_EVERY == 0 else capacity
-                    for start in [*range(0, whole, capacity), *range(whole, n, step)]:
-                        stop = min(start + (capacity if start < whole else step), n)
-                        rows.append((i, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop]), n))
-            out = pd.DataFrame(rows, columns=["at", "start", "length", "ids_crc32", "doc_tokens"])
-            at = out.pop("at")
-            out.insert(0, "doc_id", frame["doc_id"].take(at).to_numpy())
-            out.insert(1, "row", frame["row"].take(at).to_numpy())
-            yield out
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                rows = []
+                for first, raws in words.batches(part.column("text").to_pylist(), ENCODED):
+                    for i, found in enumerate(encoder.encode(raws), first):
+                        ids = found.astype("<u4").tobytes() + last
+                        seen += 1
+                        n = len(ids) // 4
+                        whole = n - n % capacity
+                        step = FILLER if seen % FILLER_EVERY == 0 else capacity
+                        for start in [*range(0, whole, capacity), *range(whole, n, step)]:
+                            stop = min(start + (capacity if start < whole else step), n)
+                            rows.append((i, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop]), n))
+                of, *numbers = (pa.array(c, pa.int64()) for c in zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id").take(of), part.column("row").take(of), *numbers],
+                    ["doc_id", "row", "start", "length", "ids_crc32", "doc_tokens"],
+                )
 
     numbered = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
-    return numbered.mapInPandas(run, f"{kind}, row bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
+    return numbered.mapInArrow(run, f"{kind}, row bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
 
 
 def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
