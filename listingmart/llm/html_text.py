@@ -195,10 +195,11 @@ def _kinds(tag: str) -> tuple[str, ...]:
 
 _KINDS = {t: _kinds(t) for t in CONTAINERS}
 
-_MARK = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'"<>])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""",
-    re.DOTALL,
-)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_ATTRIBUTES = re.compile(r"""(?:"[^"]*"|'[^']*'|[^'"<>])*+""")
+# Attributes whose quotes never close are read in vain. Once that has cost so many times the page's length, a tag of the
+# page ends at its first > whatever its quotes say.
+VAIN = 8
 _ENDS = {t: re.compile(rf"</{t}\b[^>]*>", re.IGNORECASE) for t in RAW}
 _NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _ATTRIBUTE = re.compile(r"""([^\s/=]++)\s*+(?:=\s*+(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|(\S++)))?""")
@@ -237,6 +238,55 @@ def _place(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
     return away, article
 
 
+class Marks:
+    """Comments, declarations and tags of a page, one after the other, in time linear in its length."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.left = VAIN * len(page) + 1000
+        self.closing = -1
+
+    def close(self, at: int) -> int:
+        """The first > from ``at`` on, the page's length if there is none; ``at`` never falls."""
+        if self.closing < at:
+            found = self.page.find(">", at)
+            self.closing = len(self.page) if found < 0 else found
+        return self.closing
+
+    def after(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, closing, tag, attributes) of the next mark; no tag for comments and declarations.
+
+        A ``<`` that begins nothing is text, and so is all that follows the last ``>``.
+        """
+        page = self.page
+        while (i := page.find("<", at)) >= 0:
+            if page.startswith("<!--", i):
+                end = page.find("-->", i + 4)
+                return i, len(page) if end < 0 else end + 3, False, "", ""
+            end = self.close(i)
+            if end == len(page):
+                # Nothing closes any more; only a comment may still begin.
+                i = page.find("<!--", i)
+                return None if i < 0 else (i, len(page), False, "", "")
+            if page.startswith(("<!", "<?"), i):
+                return i, end + 1, False, "", ""
+            tag = _TAG.match(page, i)
+            if tag is None:
+                at = i + 1
+                continue
+            if self.left > 0:
+                stop = _ATTRIBUTES.match(page, tag.end()).end()
+                if page.startswith(">", stop):
+                    return i, stop + 1, bool(tag[1]), tag[2], page[tag.end() : stop]
+                self.left -= (len(page) if page.startswith(("'", '"'), stop) else stop) - tag.end()
+            end = self.close(tag.end())
+            if end == len(page):
+                at = i + 1
+                continue
+            return i, end + 1, bool(tag[1]), tag[2], page[tag.end() : end]
+        return None
+
+
 def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
     """(text, words, words in links, away, inside) of a page's flat blocks, empty ones left out."""
     found: list[tuple[str, int, int, bool, bool]] = []
@@ -249,6 +299,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
     # Whether a paragraph is open, outside what is mute and within it.
     paragraph = within = False
     at, n = 0, len(page)
+    marks = Marks(page)
 
     def close() -> None:
         nonlocal linked
@@ -273,8 +324,8 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
         del stack[k:]
 
     while at < n:
-        mark = _MARK.search(page, at)
-        text = page[at : mark.start() if mark else n]
+        mark = marks.after(at)
+        text = page[at : mark[0] if mark else n]
         muted = bool(places["mute"])
         if text and not muted:
             text = html.unescape(text) if "&" in text else text
@@ -283,8 +334,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
                 linked += len(text.split())
         if mark is None:
             break
-        at = mark.end()
-        closing, tag, attributes = (mark[1], mark[2], mark[3]) if mark[2] else (mark[4], mark[5], mark[6])
+        _, at, closing, tag, attributes = mark
         if not tag:
             continue
         tag = tag.lower()

@@ -84,3 +84,18 @@ def test_raw_text_without_its_end_runs_to_the_end_of_the_page():
 
 def test_a_second_button_closes_the_first():
     assert text(f"<article><button>One<button>Two</button><p>{BODY}</p></article>") == BODY.strip()
+
+
+@pytest.mark.parametrize("unit", ["<a '\"", "<a ", "<a", "<", "< ", "<a \"x> ", "<a '\"> ", '<a x="', "<!", "</", "<a '\"x>", "<p ", "<!--", "<b/", "<a b='"])
+@pytest.mark.parametrize("end", ["", ">", "'", '"'])
+def test_broken_tags_take_linear_time(unit, end):
+    import time
+
+    begin = time.monotonic()
+    html_text.blocks(unit * (1_000_000 // len(unit)) + end)
+    assert time.monotonic() - begin < 10
+
+
+def test_tags_end_where_their_quotes_allow():
+    found = html_text.blocks("<p title='a > b'>one</p><img alt=\"x>y\">two<p class='>three</p><!-- <p> -->four <5 > 6 <!doctype x><br")
+    assert [b[0] for b in found] == ["one", "two", "three", "four <5 > 6 <br"]
