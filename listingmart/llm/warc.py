@@ -113,7 +113,7 @@ class WarcReader(DataSourceReader):
 
     def wanted(self, header: dict[str, str]) -> bool:
         for f in self.tests:
-            value = header.get(FIELDS[f.attribute[0]])
+            value = header.get(FIELDS[f.attribute[0]].lower())
             if isinstance(f, IsNull):
                 ok = value is None
             elif value is None:
@@ -154,16 +154,18 @@ class WarcReader(DataSourceReader):
             if not line.startswith(b"WARC/"):
                 raise ValueError(f"Not a WARC record: {line[:80]!r}")
             header = _header(stream)
-            left = int(header["Content-Length"])
+            left = int(header["content-length"])
             if self.wanted(header):
-                row: dict = {c: header.get(name) for c, name in header_only.items()}
+                row: dict = {c: header.get(name.lower()) for c, name in header_only.items()}
                 if block_too:
-                    before = stream.tell()
-                    stream.readline()
-                    length = _header(stream).get("Content-Length")
-                    left -= stream.tell() - before
+                    length = None
+                    if header.get("content-type", "").lower().startswith("application/http"):
+                        before = stream.tell()
+                        stream.readline(left)
+                        length = _header(stream, left - (stream.tell() - before)).get("content-length", "")
+                        left -= stream.tell() - before
                     if "payload_length" in self.columns:
-                        row["payload_length"] = int(length) if length is not None else left
+                        row["payload_length"] = int(length) if length and length.isdecimal() else left
                     if "payload" in self.columns:
                         row["payload"] = stream.read(left)
                         left = 0
@@ -171,11 +173,18 @@ class WarcReader(DataSourceReader):
             stream.seek(left + 4, io.SEEK_CUR)
 
 
-def _header(stream: io.BufferedIOBase) -> dict[str, str]:
+def _header(stream: io.BufferedIOBase, most: int = 1 << 62) -> dict[str, str]:
+    """Fields up to the empty line, under their names in lower case; of at most ``most`` bytes. Bytes that are no UTF-8
+    count as Latin-1."""
     found = {}
-    while (line := stream.readline()) not in (b"\r\n", b""):
-        name, _, value = line.decode().partition(":")
-        found[name] = value.strip(" \r\n")
+    while most > 0 and (line := stream.readline(min(most, 1 << 30))) not in (b"\r\n", b"\n", b""):
+        most -= len(line)
+        try:
+            text = line.decode()
+        except UnicodeDecodeError:
+            text = line.decode("latin-1")
+        name, _, value = text.partition(":")
+        found[name.strip().lower()] = value.strip(" \t\r\n")
     return found
 
 
