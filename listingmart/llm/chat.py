@@ -170,6 +170,12 @@ def from_rows(rows: DataFrame, key: str, order: str) -> DataFrame:
     return found.select("conv_id", "layout", F.col("turn").cast("bigint").alias("turn"), "t.role", "t.text")
 
 
+def rejected(turns: DataFrame) -> DataFrame:
+    """conv_id of the records that `from_json` found no layout for, once per record."""
+    need(turns, "conv_id", "layout")
+    return turns.filter(F.col("layout").isNull()).select("conv_id")
+
+
 def _escaped(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("<|"), F.lit("<\\|"))
 
@@ -178,9 +184,12 @@ def formatted(turns: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text, segment, loss_start, loss_end) of turns (conv_id, turn, role, text).
 
     A conversation's text is its segments in the order of turn, role and text (repeated turns are kept, a null number
-    comes first). The loss span counts code points within the segment and is null unless the role is assistant.
+    comes first). The loss span counts code points within the segment and is null unless the role is assistant. Records of
+    unknown layout (a ``layout`` column that is null) make no turn; `rejected` has them.
     """
     need(turns, "conv_id", "turn", "role", "text")
+    if "layout" in turns.columns:
+        turns = turns.filter(F.col("layout").isNotNull())
     role = F.replace(_escaped(F.coalesce("role", F.lit(""))), F.lit("\n"), F.lit("\\\n"))
     body = _escaped(F.coalesce("text", F.lit("")))
     head = F.concat(F.lit(START), role, F.lit("\n"))

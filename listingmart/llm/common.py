@@ -59,9 +59,18 @@ def attach(big: DataFrame, small: DataFrame, on: Sequence[str], how: str, spread
     on = list(on)
     if is_small(small):
         return big.join(F.broadcast(small), on, how)
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    salt = unused("_salt", big, small)
+    salted = big.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    copies = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [*on, salt], how).drop(salt)
+
+
+def unused(name: str, *tables: DataFrame) -> str:
+    """``name``, with underscores until no column of the tables is called so (in any case)."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def need(df: DataFrame, *columns: str) -> None:

@@ -15,12 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from listingmart.llm.common import attach, need, stored
+from listingmart.llm.common import attach, need, stored, unused
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MAX_RATE = 2
 SEED = "mix-1"
+# Columns that `mixed` adds.
+OWN = ("size", "source_size", "target", "copies")
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -74,12 +76,13 @@ def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHAR
     overwritten if they exist.
     """
     need(docs, "doc_id", "text", "source")
-    docs = docs.drop("size", "source_size", "target", "copies").withColumn("size", size_of(F.col("text")))
+    docs = docs.drop(*OWN).withColumn("size", size_of(F.col("text")))
     sizes = stored(docs.groupBy("source").agg(F.sum("size").alias("source_size")))
     wanted = targets(sizes, weights, share, max_rate)
-    keyed = stored(wanted.withColumn("_source", F.struct(F.col("source").isNull().alias("n"), F.coalesce("source", F.lit("")).alias("s"))).select("_source", "source_size", "target"))
-    with_source = docs.withColumn("_source", F.struct(F.col("source").isNull().alias("n"), F.coalesce("source", F.lit("")).alias("s")))
-    joined = attach(with_source, keyed, ["_source"], "inner", "doc_id").drop("_source")
+    key = unused("_source", docs)
+    named = F.struct(F.col("source").isNull().alias("n"), F.coalesce("source", F.lit("")).alias("s")).alias(key)
+    keyed = stored(wanted.select(named, "source_size", "target"))
+    joined = attach(docs.select("*", named), keyed, [key], "inner", "doc_id").drop(key)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     extra = draw(seed, F.col("source"), F.col("doc_id")) < rate - F.floor(rate)
     return joined.withColumn("copies", F.floor(rate) + extra.cast("bigint"))
@@ -87,5 +90,10 @@ def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHAR
 
 def repeated(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken, with the columns of ``docs``."""
-    taken = mixed(docs, **options)
-    return taken.filter("copies > 0").withColumn("_copy", F.explode(F.expr("sequence(1L, copies)"))).select(*docs.columns)
+    # The mix's own columns must not take the place of the table's.
+    clashing = [c for c in docs.columns if c.lower() in OWN]
+    names = {c: unused(f"_own_{c}", docs) for c in clashing}
+    taken = mixed(docs.withColumnsRenamed(names), **options)
+    copy = unused("_copy", taken)
+    every = taken.filter("copies > 0").withColumn(copy, F.explode(F.expr("sequence(1L, copies)")))
+    return every.select(*(F.col(f"`{names.get(c, c)}`").alias(c) for c in docs.columns))

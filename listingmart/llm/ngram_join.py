@@ -222,17 +222,17 @@ def similar(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den: int = DEN
     return classified(docs, size, num, den).select("id", "n_shingles", "component_id")
 
 
-def with_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """``docs`` with the fingerprint ``set`` of each row's shingles, 0 for a text without a word."""
+def with_sets(docs: DataFrame, size: int = SHINGLE, name: str = "set") -> DataFrame:
+    """``docs`` with the fingerprint of each row's shingles in a column ``name``, 0 for a text without a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, found in _texts(batch, size):
                 part = batch.slice(first, len(found))
                 names = pa.array([_fingerprint(t) if len(t) else 0 for t in found], pa.int64())
-                yield pa.RecordBatch.from_arrays([*part.columns, names], [*batch.schema.names, "set"])
+                yield pa.RecordBatch.from_arrays([*part.columns, names], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField("set", T.LongType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField(name, T.LongType())]))
 
 
 def classified(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:

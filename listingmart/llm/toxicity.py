@@ -27,6 +27,8 @@ BUCKETS, DIM, WIDTHS, FILTERS = 1 << 18, 8, (1, 2, 3), 6
 EPOCHS, BATCH, RATE = 8, 32, 0.01
 SHRINK = 3.0
 THRESHOLD = 0.3
+# Weight, in rows, of all languages' errors in the choice of one language's threshold.
+PRIOR = 50
 SLICE = 500
 # Where to cut words, as bytes: white space apart, and between ASCII letters, ASCII digits and other ASCII signs.
 _CLASS = np.full(256, 3, np.uint8)
@@ -43,7 +45,11 @@ class Net:
     shifts: list[np.ndarray]
     weights: np.ndarray
     bias: float
-    thresholds: dict[str, float] = field(default_factory=dict)
+    thresholds: dict[str | None, float] = field(default_factory=dict)
+
+    def limit(self, lang: str | None) -> float:
+        """Texts of a language that score at least so much are rejected."""
+        return self.thresholds.get(lang, self.thresholds.get(None, THRESHOLD))
 
 
 def tokens(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -195,18 +201,27 @@ def fit(texts: list[str], toxic: np.ndarray, langs: list[str | None]) -> Net:
     return net
 
 
-def calibrated(score: np.ndarray, toxic: np.ndarray, langs: list[str | None]) -> dict[str, float]:
-    """Per language the threshold with the fewest errors, the nearest to the default among equals; few rows: default."""
-    found = {}
+def calibrated(score: np.ndarray, toxic: np.ndarray, langs: list[str | None]) -> dict[str | None, float]:
+    """Per language the threshold with the fewest errors, the nearest to the default among equals.
+
+    The errors of all languages together count as `PRIOR` rows in each, so a language with few rows stays near the common
+    threshold and one with many has its own. That holds for any number of rows; there is no least one. Under None is the
+    common threshold, for languages that were not met and for none.
+    """
+    grid = np.round(np.arange(0.05, 0.96, 0.05), 2)
+    near = np.abs(grid - THRESHOLD)
+
+    def errors(rows: np.ndarray) -> np.ndarray:
+        return ((score[rows, None] >= grid) != toxic[rows, None]).sum(0)
+
+    def best(cost: np.ndarray) -> float:
+        return float(grid[np.lexsort((near, np.round(cost, 9)))[0]])
+
+    every = errors(np.arange(len(score)))
+    common = every * (PRIOR / max(1, len(score)))
+    found: dict[str | None, float] = {None: best(every) if len(score) else THRESHOLD}
     for lang in sorted({x for x in langs if x is not None}):
-        rows = np.array([x == lang for x in langs])
-        s, y = score[rows], toxic[rows]
-        if y.sum() < 10 or (1 - y).sum() < 10:
-            continue
-        grid = np.round(np.arange(0.05, 0.96, 0.05), 2)
-        errors = np.array([((s >= t) != y).sum() for t in grid])
-        near = np.abs(grid - THRESHOLD)
-        found[lang] = float(grid[np.lexsort((near, errors))[0]])
+        found[lang] = best(errors(np.array([i for i, x in enumerate(langs) if x == lang])) + common)
     return found
 
 
@@ -248,7 +263,7 @@ def kept(docs: DataFrame, net: Net) -> DataFrame:
         for batch in batches:
             for first in range(0, batch.num_rows, SLICE):
                 part = batch.slice(first, SLICE)
-                limits = np.array([shared.value.thresholds.get(x, THRESHOLD) for x in part.column(lang_at).to_pylist()])
+                limits = np.array([shared.value.limit(x) for x in part.column(lang_at).to_pylist()])
                 yield part.filter(pa.array(scores(shared.value, part.column(at).to_pylist()) < limits))
 
     return docs.mapInArrow(run, docs.schema)

@@ -131,6 +131,38 @@ def test_archives(spark, folder):
     assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 2
 
 
+def test_archives_of_other_writers(spark, folder):
+    import gzip
+
+    def record(kind, block, names=str, **more):
+        fields = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:{kind}>", **more, "Content-Length": str(len(block))}
+        head = "".join(f"{names(k)}: {v}\r\n" for k, v in fields.items()).encode("latin-1")
+        return b"WARC/1.0\r\n" + head + b"\r\n" + block + b"\r\n\r\n"
+
+    http = {"Content-Type": "application/http; msgtype=response"}
+    body = "Grüße\r\n\r\nx".encode()
+    records = [
+        record("warcinfo", b"software: x\r\nformat: y\r\n", **{"Content-Type": "application/warc-fields"}),
+        record("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", str.lower, **{"Content-Type": "application/http; msgtype=request"}),
+        record("response", b"HTTP/1.1 200 OK\r\ncontent-length: 12\r\nX-Caf\xe9: \xe9\r\n\r\n" + body, str.upper, **http, **{"WARC-Target-URI": "http://a/caf\xe9"}),
+        record("resource", body, **{"Content-Type": "text/plain"}),
+        record("metadata", b"", **{}),
+        record("response", b"HTTP/1.1 204 No Content", **http),
+        record("response", b"HTTP/1.0 200 OK\nA: b\n\nplain", **http),
+    ]
+    with gzip.open(f"{folder}/a.warc.gz", "wb") as f:
+        f.write(b"".join(records))
+    warc.register(spark)
+    found = [(r.record_type, r.payload_length, bytes(r.payload)) for r in spark.read.format("warc").load(folder).collect()]
+    info = b"software: x\r\nformat: y\r\n"
+    assert found == [
+        ("warcinfo", len(info), info), ("request", 0, b""), ("response", 12, body), ("resource", len(body), body), ("metadata", 0, b""),
+        ("response", 0, b""), ("response", 5, b"plain"),
+    ]
+    assert [r.target_uri for r in spark.read.format("warc").load(folder).filter("target_uri IS NOT NULL").collect()] == ["http://a/caf\xe9"]
+    assert spark.read.format("warc").load(folder).filter("record_type = 'request'").select("record_id").collect()[0][0] == "<urn:request>"
+
+
 def test_mix_of_odd_rows(spark):
     found = mixing.mixed(odd_docs(spark)).collect()
     sources = {r.source: r.target for r in found}
