@@ -14,12 +14,12 @@ the documents in two ways that give the same sums: pairs that many documents hol
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
 import re
 from collections.abc import Iterator
-from itertools import accumulate
 from operator import add
 
 import numpy as np
@@ -31,6 +31,8 @@ from pyspark.sql.window import Window
 from listingmart.llm.common import BROADCAST_ROWS, need, stored
 
 BATCH_CHARS = 1 << 20
+# Pairs whose text a Python worker remembers.
+REMEMBERED = 200_000
 # Beyond Latin letters two libraries may know different versions of Unicode, and very long white space is too deep for the
 # faster one's expressions; such texts go to the file's own library.
 _SLOW = re.compile("[^\0-ɏ]|\\s{1000}")
@@ -66,9 +68,9 @@ class ByteLevel:
             ranks = {t: i for i, t in known.items() if i < 256 + len(merged)}
             self.fast = tiktoken.Encoding(path, pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         slow = [i for i, t in enumerate(texts) if self.fast is None or _SLOW.search(t)]
-        found: list[list[int]] = [[]] * len(texts)
+        found = [np.zeros(0, np.int64)] * len(texts)
         if slow:
             if self.slow is None:
                 from tokenizers import Tokenizer
@@ -76,12 +78,12 @@ class ByteLevel:
                 self.slow = Tokenizer.from_file(self.path)
                 self.slow.encode_special_tokens = True
             for i, x in zip(slow, self.slow.encode_batch([texts[i] for i in slow], add_special_tokens=False), strict=True):
-                found[i] = x.ids
+                found[i] = np.array(x.ids, np.int64)
         if len(slow) < len(texts):
             left = set(slow)
             for i, t in enumerate(texts):
                 if i not in left:
-                    found[i] = self.fast.encode_ordinary(t)
+                    found[i] = self.fast.encode_to_numpy(t, disallowed_special=()).astype(np.int64)
         return found
 
 
@@ -98,93 +100,118 @@ class Pieces:
         piece = self.model.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.model.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(ids, np.int64) for ids in self.model.encode(texts, num_threads=1)]
 
 
-def segments(left: list[int], right: list[int]) -> list[tuple[int, int, int, int]]:
+def segments(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int, int, int]]:
     """(i, j, n, m): from tokens i and j on, n one-to-one groups if m is 0, else one group of n and m tokens.
 
-    ``left`` and ``right`` are where the tokens end, ascending, with the same last end.
+    ``left`` and ``right`` are where the tokens end (64-bit, ascending), with the same last end. Blocks of the two arrays
+    are compared as bytes.
     """
     found = []
-    i, shift, n = 0, 0, len(left)
+    one, other = left.tobytes(), right.tobytes()
+    ends, others = left.tolist(), right.tolist()
+    i, shift, n = 0, 0, len(ends)
     while i < n:
-        at, step = i, 2
-        while at < n and left[at : at + step] == right[at + shift : at + shift + step]:
+        at, step, off = 8 * i, 16, 8 * shift
+        while one[at : at + step] == other[at + off : at + off + step]:
             at += step
+            if at >= 8 * n:
+                break
             step *= 2
-        while step > 1 and at < n:
-            step //= 2
-            if left[at : at + step] == right[at + shift : at + shift + step]:
-                at += step
-        at = min(at, n)
-        if at > i:
-            found.append((i, i + shift, at - i, 0))
-        if at >= n:
+        else:
+            while step > 8:
+                step >>= 1
+                if one[at : at + step] == other[at + off : at + off + step]:
+                    at += step
+        x = min(at >> 3, n)
+        if x > i:
+            found.append((i, i + shift, x - i, 0))
+        if x >= n:
             break
-        x, y = at, at + shift
-        a, b = left[x], right[y]
+        i, y = x, x + shift
+        j = y
+        a, b = ends[x], others[y]
         while a != b:
             if a < b:
                 x += 1
-                a = left[x]
+                a = ends[x]
             else:
                 y += 1
-                b = right[y]
-        found.append((at, at + shift, x + 1 - at, y + 1 - at - shift))
+                b = others[y]
+        found.append((i, j, x + 1 - i, y + 1 - j))
         i, shift = x + 1, y - x
     return found
 
 
+class Shown(dict):
+    """Text of a pair by its code, kept for pairs that were met before."""
+
+    def __init__(self, width: int) -> None:
+        super().__init__()
+        self.width = width
+
+    def __missing__(self, code: int) -> str:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        text = self[code] = f"{code // self.width}|{code % self.width}"
+        return text
+
+
 class Aligner:
     """Both vocabularies, with what a Python worker keeps of them."""
 
     def __init__(self, left: str, right: str) -> None:
         self.left, self.right = ByteLevel(left), Pieces(right)
-        self.sizes = [[len(x) for x in side.bytes] for side in (self.left, self.right)]
-        self.names = [[str(i) for i in range(len(side.bytes))] for side in (self.left, self.right)]
+        self.sizes = [np.array([len(x) for x in side.bytes], np.int64) for side in (self.left, self.right)]
+        self.width = len(self.right.bytes)
+        self.shown = Shown(self.width)
+
+    def tokens(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids on both sides; none where the text is empty or either side does not give back its bytes.
 
-    def tokens(self, texts: list[str | None]) -> list[tuple[list[int], list[int]]]:
-        """Ids on both sides; none where the text is empty or either side does not give back its bytes."""
+        The left vocabulary only cuts bytes and joins them again, so its length tells; the right one may change signs.
+        """
         used = [t for t in texts if t]
         pairs = iter(zip(used, self.left.encode([" " + t for t in used]), self.right.encode(used) if used else [], strict=True))
+        none = np.zeros(0, np.int64)
         found = []
         for text in texts:
-            ids: tuple[list[int], list[int]] = ([], [])
+            ids = none, none
             if text:
                 text, a, b = next(pairs)
                 raw = b" " + text.encode()
-                if raw == b"".join(map(self.left.bytes.__getitem__, a)) and raw == b"".join(map(self.right.bytes.__getitem__, b)):
-                    ids = (a, b)
+                if len(raw) == int(self.sizes[0][a].sum()) and raw == b"".join(map(self.right.bytes.__getitem__, b.tolist())):
+                    ids = a, b
             found.append(ids)
         return found
 
-    def ends(self, a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
-        return list(accumulate(map(self.sizes[0].__getitem__, a))), list(accumulate(map(self.sizes[1].__getitem__, b)))
+    def ends(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.sizes[0][a].cumsum(), self.sizes[1][b].cumsum()
 
-    def align(self, a: list[int], b: list[int]) -> tuple[int, int, str, np.ndarray, np.ndarray]:
+    def align(self, a: np.ndarray, b: np.ndarray) -> tuple[int, int, str, np.ndarray, np.ndarray]:
         """Groups, links, the groups as text, and the distinct pairs (left id * right vocabulary + right id) with their number."""
-        left, right = (list(map(n.__getitem__, ids)) for n, ids in zip(self.names, (a, b), strict=True))
-        width = len(self.names[1])
-        scaled = (np.array(a, np.int64) * width).tolist()
+        scaled, right, one = (a * self.width).tolist(), b.tolist(), self.shown.__getitem__
         shown, codes, groups, links = [], [], 0, 0
         wide: list[tuple[np.ndarray, np.ndarray]] = []
         for i, j, n, m in segments(*self.ends(a, b)):
             if not m:
                 groups += n
                 links += n
-                codes.extend(map(add, scaled[i : i + n], b[j : j + n]))
-                shown.extend(map("|".join, zip(left[i : i + n], right[j : j + n], strict=True)))
+                own = list(map(add, scaled[i : i + n], right[j : j + n]))
+                codes += own
+                shown += map(one, own)
                 continue
             groups += 1
             links += n * m
-            shown.append(f"{','.join(left[i : i + n])}|{','.join(right[j : j + m])}")
+            shown.append(f"{','.join(map(str, a[i : i + n].tolist()))}|{','.join(map(str, right[j : j + m]))}")
             if n * m <= 256:
-                codes.extend([x + y for x in scaled[i : i + n] for y in b[j : j + m]])
+                codes += [x + y for x in scaled[i : i + n] for y in right[j : j + m]]
             else:  # a long group repeats few ids: multiply their numbers instead of listing its links
-                (x, p), (y, q) = (np.unique(np.array(z, np.int64), return_counts=True) for z in (a[i : i + n], b[j : j + m]))
-                wide.append(((x[:, None] * width + y).ravel(), (p[:, None] * q).ravel()))
+                (x, p), (y, q) = np.unique(a[i : i + n], return_counts=True), np.unique(b[j : j + m], return_counts=True)
+                wide.append(((x[:, None] * self.width + y).ravel(), (p[:, None] * q).ravel()))
         pairs, times = np.unique(np.array(codes, np.int64), return_counts=True)
         if wide:
             pairs, place = np.unique(np.concatenate([pairs, *(c for c, _ in wide)]), return_inverse=True)
@@ -235,7 +262,7 @@ def groups(docs: DataFrame, left: str, right: str) -> DataFrame:
         for batch in batches:
             for part, texts in slices(batch):
                 for k, (a, b) in enumerate(tool.tokens(texts)):
-                    ends, _ = tool.ends(a, b)
+                    ends = tool.ends(a, b)[0].tolist()
                     rows = []
                     for i, j, n, m in segments(*tool.ends(a, b)):
                         rows += [(i, j, n, m)] if m else [(i + t, j + t, 1, 1) for t in range(n)]
@@ -262,23 +289,32 @@ def aligned(docs: DataFrame, left: str, right: str) -> DataFrame:
     """
     need(docs, "doc_id", "text")
     ids = docs.select("doc_id").schema.simpleString()[7:-1]
-    narrow = len(aligner(left, right).left.bytes) * len(aligner(left, right).right.bytes) < 2**31
+    narrow = len(aligner(left, right).left.bytes) * aligner(left, right).width < 2**31
     code, kind = ("int", pa.int32()) if narrow else ("bigint", pa.int64())
 
+    def of(tool: Aligner, texts: list[str | None]) -> list[pa.Array]:
+        counts, digests, pairs, times = [], [], [], []
+        for a, b in tool.tokens(texts):
+            n_groups, n_links, shown, codes, number = tool.align(a, b) if len(a) else (0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64))
+            counts.append((len(a), len(b), n_groups, n_links))
+            digests.append(hashlib.sha256(shown.encode()).hexdigest() if len(a) else "")
+            pairs.append(codes)
+            times.append(number)
+        numbers = [pa.array(x, pa.int64()) for x in zip(*counts, strict=True)]
+        return [*numbers, pa.array(digests, pa.string()), _lists(pairs, kind), _lists(times, pa.int64())]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = aligner(left, right)
         for batch in batches:
             for part, texts in slices(batch):
-                counts, digests, pairs, times = [], [], [], []
-                for a, b in tool.tokens(texts):
-                    n_groups, n_links, shown, codes, number = tool.align(a, b) if a else (0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64))
-                    counts.append((len(a), len(b), n_groups, n_links))
-                    digests.append(hashlib.sha256(shown.encode()).hexdigest() if a else "")
-                    pairs.append(codes)
-                    times.append(number)
-                numbers = [pa.array(x, pa.int64()) for x in zip(*counts, strict=True)]
+                # Millions of small lists and tuples, none in a cycle: the search for cycles only costs time.
+                gc.disable()
+                try:
+                    columns = of(tool, texts)
+                finally:
+                    gc.enable()
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), *numbers, pa.array(digests, pa.string()), _lists(pairs, kind), _lists(times, pa.int64())],
+                    [part.column(0), part.column(1), *columns],
                     ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"],
                 )
 
@@ -313,7 +349,7 @@ def scored(docs: DataFrame, left: str, right: str, most: int = BROADCAST_ROWS) -
     number is the highest of their left id. Null ids and repeated rows stay; other columns are left out.
     """
     found = stored(aligned(docs, left, right))
-    counts = stored(pair_counts(found, len(aligner(left, right).right.bytes)))
+    counts = stored(pair_counts(found, aligner(left, right).width))
     level = often(counts, most)
     hot, rest = F.broadcast(counts.filter(F.col("count") >= level)), counts.filter(F.col("count") < level)
     links = found.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("link")).select("row", F.col("link.pairs").alias("pair"), F.col("link.times").alias("times"))

@@ -6,6 +6,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from listingmart.llm import alignment, queries
@@ -28,11 +29,11 @@ def plain(a: list[int], b: list[int], sizes) -> list[tuple[list[int], list[int]]
         return found
 
     left, right = ends(a, 0), ends(b, 1)
-    common = sorted(set(left) & set(right))
-    found, at = [], 0
-    for c in common:
-        found.append(([i for i, e in zip(a, left, strict=True) if at < e <= c], [i for i, e in zip(b, right, strict=True) if at < e <= c]))
-        at = c
+    found, x, y = [], 0, 0
+    for c in sorted(set(left) & set(right)):
+        p, q = left.index(c, x) + 1, right.index(c, y) + 1
+        found.append((a[x:p], b[y:q]))
+        x, y = p, q
     return found
 
 
@@ -70,7 +71,7 @@ def test_segments_are_the_common_cuts():
         share = rng.choice((0.2, 0.5, 0.9, 1))
         left, right = ([e for e in range(1, n) if rng.random() < share] + [n] for _ in range(2))
         cuts = []
-        for i, j, p, q in alignment.segments(left, right):
+        for i, j, p, q in alignment.segments(np.array(left), np.array(right)):
             if q:
                 assert left[i + p - 1] == right[j + q - 1] and p + q > 2
                 cuts.append(left[i + p - 1])
@@ -118,8 +119,24 @@ def test_fast_and_slow_library_agree():
     rng = random.Random(2)
     parts = [chr(i) for i in range(0x250)] + ["  ", "'s", "'ll", "<|endoftext|>", "\n\n", "abc", "The"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 30))) for _ in range(1500)]
-    assert tool.fast is not None and tool.encode(texts) == [x.ids for x in plain_tool.encode_batch(texts, add_special_tokens=False)]
+    assert tool.fast is not None and [x.tolist() for x in tool.encode(texts)] == [x.ids for x in plain_tool.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_empty_table(spark):
     assert alignment.scored(spark.createDataFrame([], "doc_id bigint, text string"), LEFT, RIGHT).count() == 0
+
+
+def test_ids_of_odd_texts():
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    tool, one = alignment.Aligner(LEFT, RIGHT), Tokenizer.from_file(LEFT)
+    one.encode_special_tokens = True
+    two = sentencepiece.SentencePieceProcessor(model_file=RIGHT)
+    rng = random.Random(8)
+    parts = [" ", " ", " ", "  ", "\n", "\t", " ", "a", "The", "é", "日", "😀", "'s", "1", "!", "<s>", "x" * 40, ",", " "]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 25))) for _ in range(3000)]
+    for text, (a, b) in zip(texts, tool.tokens(texts), strict=True):
+        if len(a):
+            assert a.tolist() == one.encode(" " + text, add_special_tokens=False).ids and b.tolist() == two.encode(text)
+    assert sum(len(a) > 0 for a, _ in tool.tokens(texts)) > 2000
