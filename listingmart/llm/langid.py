@@ -96,18 +96,11 @@ class Model:
 class _Rows:
     """Sparse table of the share of each bucket in each text; a few rows at a time are made dense."""
 
-    def __init__(self, texts: list[str]) -> None:
-        ends, at, share = [0], [], []
-        for text in texts:
-            ids, _, count = grams([text])
-            own = np.bincount(ids[ids >= 0], minlength=2 * BUCKETS)
-            at.append(np.flatnonzero(own).astype(np.uint16))
-            share.append((own[at[-1]] / max(1, int(count[0]))).astype(np.float32))
-            ends.append(ends[-1] + len(at[-1]))
-        self.ends = np.array(ends)
-        self.at = np.concatenate(at) if at else np.zeros(0, np.uint16)
-        self.share = np.concatenate(share) if share else np.zeros(0, np.float32)
-        self.held = np.zeros((min(TOGETHER, len(texts)), 2 * BUCKETS), np.float32)
+    def __init__(self, at: list[np.ndarray], share: list[np.ndarray]) -> None:
+        self.ends = np.cumsum([0, *map(len, at)])
+        self.at = np.concatenate([np.zeros(0, np.uint16), *at])
+        self.share = np.concatenate([np.zeros(0, np.float32), *share])
+        self.held = np.zeros((min(TOGETHER, len(at)), 2 * BUCKETS), np.float32)
 
     def __len__(self) -> int:
         return len(self.ends) - 1
@@ -130,21 +123,36 @@ class _Rows:
             yield slice(a, b), part
 
 
+def shares(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a text's pairs and triples, and the share of each."""
+    ids, _, count = grams([text])
+    own = np.bincount(ids[ids >= 0], minlength=2 * BUCKETS)
+    at = np.flatnonzero(own).astype(np.uint16)
+    return at, (own[at] / max(1, int(count[0]))).astype(np.float32)
+
+
+def passage(text: str, seed: int) -> str:
+    """A short passage from anywhere in a text."""
+    rng = np.random.default_rng(seed % (1 << 63))
+    n = int(rng.integers(20, 200))
+    at = int(rng.integers(0, max(1, len(text) - n)))
+    return text[at : at + n]
+
+
 def fit(texts: list[str], langs: list[str]) -> Model:
     """One classifier per bit, on whole texts and as many short passages of them."""
+    found = [shares(t) for t in texts] + [shares(passage(t, i)) for i, t in enumerate(texts)]
+    return fit_shares([at for at, _ in found], [share for _, share in found], [*langs, *langs])
+
+
+def fit_shares(at: list[np.ndarray], share: list[np.ndarray], langs: list[str]) -> Model:
+    """One classifier per bit, on the buckets of texts and their shares."""
     names = sorted(set(langs))
     codes = codewords(len(names)) if names else np.zeros((0, 1), int)
-    rng = np.random.default_rng(5)
-    short = []
-    for t in texts:
-        n = int(rng.integers(20, 200))
-        at = int(rng.integers(0, max(1, len(t) - n)))
-        short.append(t[at : at + n])
     # Every eighth row tests; rows are put in that order at once, so that both parts are ranges of one table.
-    passages, names_of = texts + short, [*langs, *langs]
-    order = sorted(range(len(passages)), key=lambda i: (i % 8 == 7, i))
-    rows = _Rows([passages[i] for i in order])
-    known = codes[[names.index(names_of[i]) for i in order]].astype(np.float32) if names else np.zeros((0, codes.shape[1]), np.float32)
+    order = sorted(range(len(at)), key=lambda i: (i % 8 == 7, i))
+    rows = _Rows([at[i] for i in order], [share[i] for i in order])
+    known = codes[[names.index(langs[i]) for i in order]].astype(np.float32) if names else np.zeros((0, codes.shape[1]), np.float32)
     scale = rows.scaled()
     cut = len(rows) - len(rows) // 8
     w, b = np.zeros((2 * BUCKETS, codes.shape[1]), np.float32), np.zeros(codes.shape[1], np.float32)
@@ -210,11 +218,28 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
 
 
 def model(docs: DataFrame, per_lang: int = PER_LANG, most: int = SAMPLE, least: int = LEAST) -> Model:
-    """Fit on a sample of documents that are not held out, evenly by language. None: every text is unknown."""
+    """Fit on a sample of documents that are not held out, evenly by language. None: every text is unknown.
+
+    Executors count the n-grams; the driver gets at most 2 * `BUCKETS` numbers of a text, whatever its length.
+    """
     need(docs, "doc_id", "text", "lang")
     known = docs.filter(F.col("text").isNotNull()).select("doc_id", F.col("lang").alias("label"))
-    table = samples.labelled(docs, known, per_lang, most, least)
-    return fit(table.column("text").to_pylist(), table.column("label").to_pylist())
+    rows = samples.drawn(docs, known, per_lang, most, least).select("order", "label", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                for whole, make in ((True, lambda t, _: shares(t)), (False, lambda t, seed: shares(passage(t, seed)))):
+                    found = [make(t, seed) for t, seed in zip(part.column("text").to_pylist(), part.column("order").to_pylist(), strict=True)]
+                    lists = [pa.array([own[k] for own in found], pa.list_(kind)) for k, kind in enumerate((pa.int32(), pa.float32()))]
+                    yield pa.RecordBatch.from_arrays([part.column("order"), part.column("label"), pa.array([whole] * len(found)), *lists], ["order", "label", "whole", "at", "share"])
+
+    kind = rows.schema["label"].dataType.simpleString()
+    found = rows.mapInArrow(run, f"order long, label {kind}, whole boolean, at array<int>, share array<float>").toArrow()
+    found = found.sort_by([("whole", "descending"), ("order", "ascending")])
+    at = [x.values.to_numpy().astype(np.uint16) for x in found.column("at")]
+    return fit_shares(at, [x.values.to_numpy() for x in found.column("share")], found.column("label").to_pylist())
 
 
 def identified(docs: DataFrame, fitted: Model) -> DataFrame:

@@ -15,22 +15,37 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
+# A frequent label is ranked among about twice the rows it may give, and so many more that it hardly ever gives too few.
+SPARE = 200
+
+
 def labelled(docs: DataFrame, labels: DataFrame, per_label: int | None, most: int, least: int = 1) -> pa.Table:
-    """(text, label) of at most ``most`` documents that may be learned from, and at most ``per_label`` of each label.
+    """(text, label) of the rows that `drawn` takes, in their order."""
+    rows = drawn(docs, labels, per_label, most, least)
+    return rows.select("text", "label", "order").toArrow().sort_by("order").select(["text", "label"])
+
+
+def drawn(docs: DataFrame, labels: DataFrame, per_label: int | None, most: int, least: int = 1) -> DataFrame:
+    """(doc_id, text, label, order) of at most ``most`` documents that may be learned from, and at most ``per_label`` of each label.
 
     ``labels`` is (doc_id, label). Documents are taken in the order of a hash of their id: ids first, then the whole
     texts of those. An id that repeats counts once, with its largest label. With ``per_label`` the labels fill up evenly,
     so a rare one keeps all it has while a frequent one is cut; ``least`` documents of each are taken even beyond ``most``.
+    A label's rows are thinned by the hash to about twice ``per_label`` before they are ranked, so that no task ranks
+    more, however frequent a label is.
     """
     known = labels.filter(F.col("label").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
     known = known.withColumn("order", F.xxhash64("doc_id"))
     if per_label is None:
         first = known.orderBy("order", "doc_id").limit(most)
     else:
-        known = known.withColumn("nth", F.row_number().over(Window.partitionBy("label").orderBy("order", "doc_id"))).filter(F.col("nth") <= per_label)
         known = stored(known)
+        share = stored(known.groupBy("label").agg((F.lit(2.0 * per_label + SPARE) / F.count("*")).alias("share")))
+        known = attach(known, share, ["label"], "inner", "doc_id").filter("share >= 1 OR order < share * 18446744073709551616D - 9223372036854775808D")
+        known = known.withColumn("nth", F.row_number().over(Window.partitionBy("label").orderBy("order", "doc_id"))).filter(F.col("nth") <= per_label)
+        known = stored(known.select("doc_id", "label", "order", "nth"))
         first = known.orderBy("nth", "order", "doc_id").limit(max(most, known.filter(F.col("nth") <= least).count()))
     chosen = stored(first.select("doc_id", "label", "order"))
     found = attach(docs.select("doc_id", "text").filter(F.col("text").isNotNull()), chosen, ["doc_id"], "inner", "doc_id")
     once = found.groupBy("doc_id", "label", "order").agg(F.min("text").alias("text"))
-    return once.select("text", "label", "order").toArrow().sort_by("order").select(["text", "label"])
+    return once.select("doc_id", "text", "label", "order")

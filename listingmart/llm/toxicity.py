@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from listingmart.llm import samples, words
-from listingmart.llm.common import need
+from listingmart.llm.common import need, stored
 
-# Labelled documents that are used, at most.
-SAMPLE = 10_000
+# Labelled documents that are used, at most, and words of them; a document with more than a sixteenth of these words is not used.
+SAMPLE, WORDS = 10_000, 1 << 24
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 18, 8, (1, 2, 3), 6
 EPOCHS, BATCH, RATE = 8, 32, 0.01
 SHRINK = 3.0
@@ -83,12 +83,13 @@ def forward(net: Net, ids: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray,
     return np.maximum.reduceat(answers, begins, axis=0), answers
 
 
+def hashed_scores(net: Net, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    top, _ = forward(net, *padded(ids, offsets))
+    return 1 / (1 + np.exp(-np.clip(np.maximum(top, 0) @ net.weights + net.bias, -30, 30)))
+
+
 def scores(net: Net, texts: list[str | None]) -> np.ndarray:
-    out = []
-    for _, raws in words.batches(lowered(texts)):
-        ids, offsets = tokens(raws)
-        top, _ = forward(net, *padded(ids, offsets))
-        out.append(1 / (1 + np.exp(-np.clip(np.maximum(top, 0) @ net.weights + net.bias, -30, 30))))
+    out = [hashed_scores(net, *tokens(raws)) for _, raws in words.batches(lowered(texts))]
     return np.concatenate(out) if out else np.zeros(0)
 
 
@@ -170,21 +171,30 @@ def train(net: Net, ids: np.ndarray, offsets: np.ndarray, toxic: np.ndarray, rng
     net.bias = float(bias[0])
 
 
+def joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all words of the texts, and the offsets of each text's words."""
+    ids, offsets = [np.zeros(0, np.int32)], [0]
+    for _, raws in words.batches(lowered(texts)):
+        some, bounds = tokens(raws)
+        ids.append(some)
+        offsets += (offsets[-1] + bounds[1:]).tolist()
+    return np.concatenate(ids), np.array(offsets)
+
+
 def fit(texts: list[str], toxic: np.ndarray, langs: list[str | None]) -> Net:
-    """Train on labelled texts. Without texts of both labels the score is the share of toxic ones, for any text."""
+    """Train on labelled texts."""
+    return fit_hashed(*joined(texts), toxic, langs)
+
+
+def fit_hashed(every: np.ndarray, bounds: np.ndarray, toxic: np.ndarray, langs: list[str | None]) -> Net:
+    """Train on the hashed words of labelled texts. Without texts of both labels the score is the share of toxic ones, for any text."""
     rng = np.random.default_rng(3)
-    parts = np.arange(len(texts)) % 5  # three for the log-odds, one for training, one for thresholds
+    parts = np.arange(len(toxic)) % 5  # three for the log-odds, one for training, one for thresholds
     net = Net(np.zeros((BUCKETS + 1, DIM), np.float32), [np.zeros((w, DIM, FILTERS), np.float32) for w in WIDTHS], [np.zeros(FILTERS, np.float32) for _ in WIDTHS], np.zeros(FILTERS * len(WIDTHS), np.float32), 0.0)
     share = min(0.99, max(0.01, float(toxic.mean()))) if len(toxic) else 0.01
     net.bias = float(np.log(share / (1 - share)))
     if not len(toxic) or toxic.min() == toxic.max():
         return net
-    ids, offsets = [], [0]
-    for _, raws in words.batches(lowered(texts)):
-        some, bounds = tokens(raws)
-        ids.append(some)
-        offsets += (offsets[-1] + bounds[1:]).tolist()
-    every, bounds = np.concatenate(ids), np.array(offsets)
 
     def pick(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         own = [every[bounds[i] : bounds[i + 1]] for i in rows]
@@ -197,7 +207,8 @@ def fit(texts: list[str], toxic: np.ndarray, langs: list[str | None]) -> Net:
     net = start(*pick(counted), rng)
     train(net, *pick(trained), rng)
     rest = np.flatnonzero(parts == 4)
-    net.thresholds = calibrated(scores(net, [texts[i] for i in rest]), toxic[rest], [langs[i] for i in rest])
+    score = [hashed_scores(net, *pick(rest[at : at + BATCH])[:2]) for at in range(0, len(rest), BATCH)]
+    net.thresholds = calibrated(np.concatenate([np.zeros(0), *score]), toxic[rest], [langs[i] for i in rest])
     return net
 
 
@@ -225,16 +236,43 @@ def calibrated(score: np.ndarray, toxic: np.ndarray, langs: list[str | None]) ->
     return found
 
 
-def model(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Net:
-    """Fit on at most ``most`` labelled documents (labels: doc_id, toxic), never on held-out ones."""
+def hashed(rows: DataFrame) -> DataFrame:
+    """(order, toxic, lang, n, words) of labelled rows: the buckets of their words, made where the texts are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                ids, offsets = joined(part.column("text").to_pylist())
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+                own = [part.column("order"), part.column("toxic"), part.column("lang"), pa.array(np.diff(offsets), pa.int64()), lists]
+                yield pa.RecordBatch.from_arrays(own, ["order", "toxic", "lang", "n", "words"])
+
+    return rows.select("order", "label.toxic", "label.lang", "text").mapInArrow(run, "order long, toxic int, lang string, n long, words array<int>")
+
+
+def model(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, words_at_most: int = WORDS) -> Net:
+    """Fit on at most ``most`` labelled documents (labels: doc_id, toxic) with ``words_at_most`` words in all, never on held-out ones.
+
+    Executors hash the words; the driver gets their buckets, not the texts.
+    """
     need(docs, "doc_id", "text", "lang")
     need(labels, "doc_id", "toxic")
     # The language travels with the label for the thresholds; no score sees it.
     langs = docs.select("doc_id", "lang").groupBy("doc_id").agg(F.max("lang").alias("lang"))
     known = labels.select("doc_id", "toxic").filter(F.col("toxic").isin(0, 1)).join(langs, "doc_id").select("doc_id", F.struct(F.col("toxic").cast("int").alias("toxic"), "lang").alias("label"))
-    table = samples.labelled(docs, known, None, most)
-    label = table.column("label").to_pylist()
-    return fit(table.column("text").to_pylist(), np.array([x["toxic"] for x in label], np.int64), [x["lang"] for x in label])
+    rows = stored(hashed(samples.drawn(docs, known, None, most))).filter(F.col("n") <= words_at_most // 16)
+    lengths = rows.select("order", "n").toArrow().sort_by("order")
+    fits = int((np.cumsum(lengths.column("n").to_numpy()) <= words_at_most).sum())
+    if fits < lengths.num_rows:
+        rows = rows.filter(F.col("order") <= lengths.column("order")[fits - 1].as_py())
+    table = rows.drop("n").toArrow().sort_by("order")
+    every, bounds = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+    for part in table.column("words").chunks:
+        every.append(part.flatten().to_numpy())
+        bounds.append(bounds[-1][-1] + np.cumsum(part.value_lengths().to_numpy().astype(np.int64)))
+    toxic = table.column("toxic").to_numpy().astype(np.int64)
+    return fit_hashed(np.concatenate(every), np.concatenate(bounds), toxic, table.column("lang").to_pylist())
 
 
 def scored(docs: DataFrame, net: Net) -> DataFrame:
