@@ -5,7 +5,12 @@ The SQL text is valid in Spark and in DuckDB, so that both sides of a check read
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from listingmart.schema import RAW_TO_STANDARD
 
 RAW_SQL = """
 SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_shipdate AS DATE)) AS listing_id,
@@ -90,3 +95,41 @@ def district_polygons(spark: SparkSession) -> DataFrame:
         for ring in [((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0))]
     )
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t(name, rings)")
+
+
+# File names carry months of this century; the test tables end in the last one.
+LATER_MONTHS = 120
+# Months whose files have another column order and a column of their own, and months whose files lack a column that no key needs.
+REORDERED, LACKING, LACKED = 1, 2, "condition"
+
+
+def write_monthly_files(raw: DataFrame, folder: str) -> None:
+    """Raw listings as ``<folder>/<market>/<market>_<year>_<month>-<n>.csv`` with raw headers, of which there are three."""
+    headers = {standard: header for header, standard in RAW_TO_STANDARD.items()}
+    name = F.concat_ws("_", "market", F.date_format(F.add_months("month", LATER_MONTHS), "yyyy_MM")).alias("name")
+    staging = f"{folder}/staging"
+    for kind in range(3):
+        names = [c for c in headers if c != LACKED or kind != LACKING]
+        fields = [F.col(c).cast("string").alias(headers[c]) for c in (reversed(names) if kind == REORDERED else names)]
+        note = [F.lit('seen, "twice"\nor more').alias("note")] if kind == REORDERED else []
+        rows = raw.filter(F.month("month") % 3 == kind).select("market", name, *fields, *note)
+        writer = rows.hint("rebalance", "market", "name").write.mode("append").partitionBy("market", "name")
+        writer.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(staging)
+    spark = raw.sparkSession
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    files = path_of(staging).getFileSystem(spark._jsc.hadoopConfiguration())
+    written = spark.read.format("binaryFile").options(pathGlobFilter="*.csv", recursiveFileLookup=True).load(staging).select("path")
+    for n, row in enumerate(sorted(written.collect())):
+        market, month = (part.split("=")[1] for part in row.path.split("/")[-3:-1])
+        files.mkdirs(path_of(f"{folder}/{market}"))
+        files.rename(path_of(row.path), path_of(f"{folder}/{market}/{month}-{n}.csv"))
+
+
+def write_districts(spark: SparkSession, path: str) -> None:
+    """The polygons of the fixture as one GeoJSON document: the first as a MultiPolygon, with a point that is no district."""
+    features = [{"type": "Feature", "properties": {"name": None, "kind": "station"}, "geometry": {"type": "Point", "coordinates": [21.0, 52.2]}}]
+    for n, row in enumerate(district_polygons(spark).collect()):
+        shape = {"type": "Polygon", "coordinates": row.rings} if n else {"type": "MultiPolygon", "coordinates": [row.rings]}
+        features.append({"type": "Feature", "properties": {"name": row.name}, "geometry": shape})
+    document = json.dumps({"type": "FeatureCollection", "features": features}, indent=1)
+    spark.createDataFrame([(document,)], "value string").write.text(path)

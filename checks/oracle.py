@@ -384,6 +384,9 @@ def statements() -> dict[str, str]:
           FROM long WHERE market = 'sale' ORDER BY month DESC, listing_id LIMIT 10""",
         "preview": " " + listing("sale", COMBINED_WHERE) + " ORDER BY month DESC, listing_id LIMIT 200",
         "csv_round_trip": " " + listing("static", "market = 'sale'"),
+        "csv_to_long": f" SELECT * REPLACE (CASE WHEN month(month) % 3 <> 2 THEN condition END AS condition) FROM (SELECT {long_columns} FROM long)",
+        "sql_mart_sale": mart_rows("sale"),
+        "sql_static_rent": " " + listing("static", "market = 'rent'"),
         "mart_after_refresh": mart_rows("sale"),
         "static_after_refresh": " " + listing("static", "market = 'sale'"),
         "state_quantiles": " " + " UNION ALL ".join(

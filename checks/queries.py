@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from checks.fixture import district_polygons, raw_listings
+from checks.fixture import LATER_MONTHS, district_polygons, raw_listings, write_districts, write_monthly_files
 from listingmart.functions.bins import add_bins
 from listingmart.functions.coercion import to_number
 from listingmart.functions.fingerprint import FingerprintConfig, add_property_fingerprint
@@ -19,10 +19,10 @@ from listingmart.functions.labels import with_label
 from listingmart.operators import clean, dedup, filters, repeats, stats, trends, yields
 from listingmart.operators.districts import DistrictLayer, assign_district, build_layer
 from listingmart.plans import incremental, marts
-from listingmart.plans.dataset import store_long_table
+from listingmart.plans.dataset import LONG_NAME, build_database, build_dataset, load_mart, load_static, store_long_table
 from listingmart.plans.reports import BOX_CATEGORIES, CLIPPED, HISTOGRAM_BINS
-from listingmart.schema import STANDARD_COLUMNS
-from listingmart.sources.tables import export_csv, replace_months, save_processed, valid_located, work_folder
+from listingmart.schema import MARKETS, STANDARD_COLUMNS
+from listingmart.sources.tables import export_csv, load_processed, replace_months, save_processed, union_markets, valid_located, work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,6 +53,7 @@ class Fixture:
 _layers: dict[str, DistrictLayer] = {}
 _raw: dict[tuple[str, str], tuple[str, DataFrame]] = {}
 _fixtures: dict[tuple[str, str], Fixture] = {}
+_from_files: dict[tuple[str, str], str] = {}
 
 
 def layer(spark: SparkSession) -> DistrictLayer:
@@ -408,8 +409,38 @@ def q_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     static = static_table(spark, sf_dir, "sale").select(*LISTING)
     path = export_csv(static, f"{fixture(spark, sf_dir).folder}/export-{uuid.uuid4().hex}.csv")
-    back = spark.read.option("header", True).schema(static.schema).csv(path)
-    return back
+    return spark.read.options(header=True, escape='"').schema(static.schema).csv(path)
+
+
+def from_files(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the long tables that the build job makes of monthly CSV files and a district file, once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _from_files:
+        folder = f"{work_folder(spark)}/files-{uuid.uuid4().hex}"
+        write_monthly_files(raw_table(spark, sf_dir), f"{folder}/raw")
+        write_districts(spark, f"{folder}/districts.geojson")
+        build_dataset(spark, f"{folder}/raw", f"{folder}/processed", f"{folder}/districts.geojson")
+        _from_files[key] = f"{folder}/processed"
+    return _from_files[key]
+
+
+def earlier(df: DataFrame) -> DataFrame:
+    return df.withColumn("month", F.add_months("month", -LATER_MONTHS))
+
+
+def q_csv_to_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sale, rent = (load_processed(spark, from_files(spark, sf_dir), LONG_NAME.format(market=m)) for m in MARKETS)
+    return earlier(union_markets(sale, rent)).select(*long_table(spark, sf_dir).columns)
+
+
+def q_sql_mart_sale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    build_database(spark, from_files(spark, sf_dir))
+    return earlier(load_mart(spark, "sale")).select(*marts.MART_COLUMNS)
+
+
+def q_sql_static_rent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    build_database(spark, from_files(spark, sf_dir))
+    return earlier(load_static(spark, "rent")).select(*LISTING)
 
 
 def withdrawn_and_added(spark: SparkSession, sf_dir: str, market: str) -> tuple[str, list[date]]:
@@ -507,6 +538,9 @@ def registered() -> dict[str, Query]:
         "newest_listings": q_newest,
         "preview": q_preview,
         "csv_round_trip": q_csv_round_trip,
+        "csv_to_long": q_csv_to_long,
+        "sql_mart_sale": q_sql_mart_sale,
+        "sql_static_rent": q_sql_static_rent,
         "mart_after_refresh": q_mart_after_refresh,
         "state_quantiles": q_state_bounds,
         "static_after_refresh": q_static_after_refresh,
