@@ -5,7 +5,9 @@ from __future__ import annotations
 import random
 from collections import Counter
 
-from listingmart.llm import langid, samples
+import numpy as np
+
+from listingmart.llm import langid, samples, toxicity
 from tests.llm.test_operators import docs
 
 
@@ -36,3 +38,14 @@ def test_a_rare_language_is_predicted(spark):
     fitted = langid.model(table, 50, 60)
     own = langid.identified(table, fitted).join(table.select("doc_id", "lang"), "doc_id").filter("held_out AND lang = 'xx'")
     assert own.count() and own.filter("lang_pred <> lang").count() == 0
+
+
+def test_a_text_beyond_the_bound_on_words_is_not_learned_from(spark):
+    rows = [(i, ("vile scum " if i % 2 else "kind words ") + f"number {i}", "en", "s") for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(401)], "doc_id long, toxic int")
+    plain = toxicity.model(docs(spark, rows), labels, words_at_most=1 << 14)
+    long = docs(spark, [*rows, (400, "kind words " * 1000, "en", "s")])
+    found = toxicity.model(long, labels, words_at_most=1 << 14)
+    assert np.array_equal(plain.table, found.table) and plain.thresholds == found.thresholds
+    # Rows in order of the hash are used until their words are.
+    assert not np.array_equal(plain.table, toxicity.model(docs(spark, rows), labels, words_at_most=400).table)
