@@ -9,7 +9,7 @@ from listingmart.functions.fingerprint import FingerprintConfig
 from listingmart.operators.clean import clean_base
 from listingmart.operators.districts import DistrictLayer
 from listingmart.plans.incremental import refresh_derived
-from listingmart.sources.monthly_csv import check_file_name, list_csv_files, read_csv_files
+from listingmart.sources.monthly_csv import check_file_name, load_monthly
 from listingmart.sources.tables import replace_months
 
 FILE_LISTING = "path string, modificationTime timestamp, length bigint, content binary"
@@ -45,8 +45,7 @@ def refresh_long_table(
         months = {_month(row.path) for row in batch.collect()}
         if not months:
             return
-        files = [path for path in list_csv_files(spark, raw_folder) if _month(path) in months]
-        long = clean_base(read_csv_files(spark, files, market), layer, cfg=cfg)
+        long = clean_base(load_monthly(spark, raw_folder, market, months=months), layer, cfg=cfg)
         replace_months(long, long_path, months)
         if derived is not None:
             refresh_derived(spark, derived, market, months)

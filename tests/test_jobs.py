@@ -3,13 +3,15 @@
 import datetime as dt
 import json
 import os
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import GreaterThan, IsNotNull, LessThanOrEqual
 
 from listingmart.operators.repeats import run_repeat_prevalence
 from listingmart.plans import dataset, reports
-from listingmart.sources import monthly_csv, tables
+from listingmart.sources import monthly_csv, monthly_headers, tables
 from listingmart.streaming.refresh import refresh_long_table
 
 HEADER = "id,city,type,squareMeters,price,latitude,longitude,rooms,hasBalcony"
@@ -59,8 +61,74 @@ def test_files_with_one_header_share_a_scan(spark, folder):
     assert df.select("month").distinct().count() == 6
 
 
+def job_count(spark, action):
+    """How many jobs an action starts, by the status tracker."""
+    group = f"jobs-{uuid.uuid4().hex}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        action()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_headers_of_many_files_are_one_job(spark, folder):
+    """The number of jobs that find the headers is that of a folder with three files."""
+    headers = ["id,city,price", "price,id", "city,id,note"]
+    for n in range(200):
+        month = f"{2001 + n // 12}_{n % 12 + 1:02d}"
+        write(f"{folder}/many", f"sale_{month}.csv", f"{headers[n % 3]}\n")
+        if n < 3:
+            write(f"{folder}/few", f"sale_{month}.csv", f"{headers[n % 3]}\n")
+    found = {}
+    jobs = [job_count(spark, lambda: found.update({k: monthly_csv.headers_of(spark, f"{folder}/{k}")})) for k in ("few", "many")]
+    assert jobs == [1, 1]
+    assert {h: len(paths) for h, paths in found["many"].items()} == {tuple(h.split(",")): n for h, n in zip(headers, (67, 67, 66))}
+    assert sum(found["few"].values(), [])[0].startswith("file:/")
+
+
+def test_only_files_of_the_wanted_months_are_opened(spark, folder):
+    write(folder, "sale_2024_01.csv", f"{HEADER}\n{JANUARY}")
+    write(folder, "sale_2024_02.csv", "unread")
+    write(folder, "sale_2024_03.csv", f"{FEBRUARY_HEADER}\n{FEBRUARY}")
+    months = {dt.date(2024, 1, 1), dt.date(2024, 3, 1)}
+    df = monthly_csv.load_monthly(spark, folder, "sale", months=months)
+    assert {r.month for r in df.select("month").distinct().collect()} == months and "unread" not in df.columns
+
+    reader = monthly_headers.HeaderReader({"path": f"file:{folder}"})
+    left = reader.pushFilters([GreaterThan(("month",), dt.date(2024, 1, 1)), IsNotNull(("month",)), LessThanOrEqual(("month",), dt.date(2024, 2, 1))])
+    assert list(left) == [IsNotNull(("month",))]
+    assert [p.paths for p in reader.partitions()] == [("sale_2024_02.csv",)]
+
+    monthly_headers.register(spark)
+    source = spark.read.format(monthly_headers.FORMAT).load(f"file:{folder}")
+    late = source.filter("month > date'2024-01-01' AND month <= date'2024-03-01' AND month <> date'2024-02-01'")
+    assert [r.header[0] for r in late.collect()] == ["price"]
+    # What the source takes is not tested again by Spark: only the inequality is left.
+    plan = late._jdf.queryExecution().optimizedPlan().toString()
+    assert "= 2024-02-01)" in plan and "2024-01-01" not in plan and "2024-03-01" not in plan
+    with pytest.raises(ValueError, match="no CSV file"):
+        monthly_csv.load_monthly(spark, folder, "sale", months={dt.date(2030, 1, 1)})
+
+
+def test_headers_are_read_as_the_csv_reader_names_them(spark, folder):
+    texts = {
+        "sale_2024_01.csv": "id,Price,price,,note\n1,2,3,4,5\n",
+        "sale_2024_02.csv": '\ufeff"id","a ""b"", c"," d "\r\n1,2,3\r\n',
+        "sale_2024_03.csv": '\n\nid,"two\nlines",city\n1,2,3\n',
+        "sale_2024_04.csv": "",
+        "sale_2024_05.csv": "id",
+    }
+    for name, text in texts.items():
+        write(folder, name, text)
+    for header, paths in monthly_csv.headers_of(spark, folder).items():
+        for path in paths:
+            own = spark.read.options(header=True, quote='"', escape='"', multiLine=True).csv(path).columns
+            assert list(header) == own, path
+
+
 def test_bad_file_names(spark, folder):
-    with pytest.raises(ValueError, match="No rent files"):
+    with pytest.raises(ValueError, match="no CSV file of the rent market"):
         write(folder, "notes.txt", "x")
         monthly_csv.load_rent_monthly(spark, folder)
     write(folder, "sale_1999.csv", HEADER)
@@ -70,7 +138,7 @@ def test_bad_file_names(spark, folder):
         monthly_csv.check_file_name("sale_2024_13.csv")
     names = spark.createDataFrame([("x_2023-07_2024_01.csv",)], "n string")
     assert names.select(monthly_csv.month_of_name(F.col("n"))).first()[0] == dt.date(2023, 7, 1)
-    with pytest.raises(Exception, match="Cannot extract month"):
+    with pytest.raises(Exception, match="No month in the file name"):
         spark.createDataFrame([("x.csv",)], "n string").select(monthly_csv.month_of_name(F.col("n"))).collect()
 
 
