@@ -24,6 +24,7 @@ from listingmart.functions.coercion import missing_to_null
 from listingmart.schema import RAW_TO_STANDARD
 from listingmart.sources import monthly_headers
 from listingmart.sources.monthly_headers import MONTH_IN_NAME, NO_MONTH, check_file_name
+from listingmart.sources.tables import qualified
 
 SURPLUS = "_surplus"
 
@@ -61,8 +62,7 @@ def headers_of(
 ) -> dict[tuple[str, ...], list[str]]:
     """Paths of a folder's CSV files by their header, of the given months or of all. The driver gets one row per file,
     as it does when Spark plans a scan of them."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    uri = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    uri = qualified(spark, folder)
     by_header: dict[tuple[str, ...], list[str]] = defaultdict(list)
     if monthly_headers.can_open(uri):
         monthly_headers.register(spark)

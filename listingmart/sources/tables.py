@@ -102,6 +102,12 @@ def replace_months(df: DataFrame, path: str, months: Collection[date]) -> None:
     df.sparkSession.catalog.refreshByPath(path)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, as Spark understands it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder in whatever file system its path names."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
