@@ -1,117 +1,209 @@
 """Point-in-polygon assignment of listings to districts.
 
-Every polygon is spread over the cells of a grid laid on the layer's extent, which turns the spatial
-test into an equality join on the cell number. A cell carries its candidate polygons and, of each,
-only the edges that a ray from inside the cell can meet.
+A quadtree is laid over the layer's extent: a cell splits while it holds too many polygon edges, so that clustered or very
+detailed polygons get small cells and the rest large ones. Splitting works on rows of edges, level by level. Of every
+cell and polygon that meet, the layer knows the cell's edges and whether the cell's upper right corner lies inside. A point is
+inside if a path from it to that corner, first to the right, then upwards, crosses an odd number of the cell's edges
+(or an even one from an outer corner). So a point meets the edges of its own cell only.
 """
 
 from __future__ import annotations
 
-import math
+import uuid
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listingmart.functions.coercion import slug
 from listingmart.schema import CITY
-
-# The cell table is broadcast while it holds at most this many polygon edges (32 bytes each).
+from listingmart.sources.tables import work_folder
+
+# Cells of up to so many edges are not split; in layers with many edges cells may hold their hundred-thousandth part.
+EDGES_PER_CELL = 32
+MOST_PARTS = 100_000
+# A cell that is split has so many children in each direction (a power of two).
+SPLIT = 4
+# Cells are at most halved so often in each direction. More edges than the bound can only remain where they meet in a point.
+MAX_DEPTH = 20
+# The cell table is broadcast while it holds at most this many polygon edges (32 bytes each), its keys up to this number.
 MAX_BROADCAST_EDGES = 500_000
+MAX_BROADCAST_CELLS = 2_000_000
 # Above that it is joined by shuffle; the points of one cell are spread over this many salts.
 SALTS = 64
-MAX_GRID_SIDE = 512
+# Cells reach a little beyond their borders, so that no rounding separates a point from an edge that it is next to.
+MARGIN = 1e-9
 
 
 @dataclass(frozen=True)
 class DistrictLayer:
-    """Grid cells of a polygon layer: ``cx, cy, candidates``."""
+    """Cells of a polygon layer: ``_depth, _cell, kx, ky, candidates``. ``_cell`` numbers the cells of a depth."""
 
     cells: DataFrame
     edges: int
+    n_cells: int
+    depths: tuple[int, ...]
     x0: float
     y0: float
-    step_x: float
-    step_y: float
+    width: float
+    height: float
 
-    def cell_x(self, x: str) -> str:
-        return f"cast(floor(({x} - {self.x0!r}D) / {self.step_x!r}D) AS bigint)"
+    def cell(self, x: str, y: str, depth: int) -> Column:
+        """Number of the cell of a depth that a point lies in; null outside the layer."""
+        side = 1 << depth
+        ix = f"floor(({x} - {self.x0!r}D) / {self.width / side!r}D)"
+        iy = f"floor(({y} - {self.y0!r}D) / {self.height / side!r}D)"
+        inside = f"{ix} BETWEEN 0 AND {side - 1} AND {iy} BETWEEN 0 AND {side - 1}"
+        return F.expr(f"CASE WHEN {inside} THEN cast({ix} AS bigint) * {side} + cast({iy} AS bigint) END")
 
-    def cell_y(self, y: str) -> str:
-        return f"cast(floor(({y} - {self.y0!r}D) / {self.step_y!r}D) AS bigint)"
 
+# Edges of all rings of a polygon, each from its lower end to its upper one (a level one to the right); rings are closed.
+EDGES = """filter(flatten(transform(rings, ring -> transform(
+  ring, (p, i) -> array_sort(array(
+    struct(get(p, 1) AS y, get(p, 0) AS x),
+    struct(get(get(ring, (i + 1) % size(ring)), 1) AS y, get(get(ring, (i + 1) % size(ring)), 0) AS x)))))),
+  e -> get(e, 0).x IS NOT NULL AND get(e, 0).y IS NOT NULL AND get(e, 1).x IS NOT NULL AND get(e, 1).y IS NOT NULL)"""
+ENDS = ("x1", "y1", "x2", "y2")
 
-BOX = ("xmin", "xmax", "ymin", "ymax")
 
-# Edges of all rings of a polygon, each from one ring point to the next.
-EDGES = """flatten(transform(rings, ring -> transform(
-  slice(ring, 2, greatest(size(ring) - 1, 0)),
-  (p, i) -> struct(get(get(ring, i), 0) AS x1, get(get(ring, i), 1) AS y1, get(p, 0) AS x2, get(p, 1) AS y2))))"""
+def _side(x: str, y: str, e: str) -> str:
+    return f"((({e}x2 - {e}x1) * ({y} - {e}y1)) - (({e}y2 - {e}y1) * ({x} - {e}x1)))"
 
 
-def build_layer(polygons: DataFrame, *, name_col: str = "name", city: str = CITY) -> DistrictLayer:
-    """Grid a layer of ``name, rings`` polygons (``rings`` = array of closed [lon, lat] rings; holes
-    and further parts are just more rings). The polygon named as the whole city and polygons without
-    a name drop out."""
-    if name_col not in polygons.columns:
-        raise ValueError(f"Column '{name_col}' not found in districts. Available: {polygons.columns}")
-    shapes = (
-        polygons.filter(F.lower(F.col(name_col)) != city)
-        .select(slug(name_col).alias("district"), F.expr(EDGES).alias("edges"))
-        .filter("size(edges) > 0")
-        .selectExpr(
-            "district",
-            "edges",
-            "array_min(transform(edges, e -> least(e.x1, e.x2))) AS xmin",
-            "array_max(transform(edges, e -> greatest(e.x1, e.x2))) AS xmax",
-            "array_min(transform(edges, e -> least(e.y1, e.y2))) AS ymin",
-            "array_max(transform(edges, e -> greatest(e.y1, e.y2))) AS ymax",
-        )
+def _left(x: str, y: str, e: str) -> str:
+    """Whether a point lies left of an edge (above a level one). A point on the edge's line counts as moved up a little, and
+    to the right by even less; the tests for crossings move it alike."""
+    side = _side(x, y, e)
+    return f"({side} > 0 OR ({side} = 0 AND {e}x2 > {e}x1))"
+
+
+def _crosses(x: str, y: str, kx: str, ky: str, e: str = "") -> str:
+    """Whether an edge crosses the path from (x, y) to the right or left to kx and from there up or down to ky an odd number of times."""
+    across = f"(({e}y1 > {y}) != ({e}y2 > {y}) AND {_left(x, y, e)} != {_left(kx, y, e)})"
+    up = f"(({e}x1 > {kx}) != ({e}x2 > {kx}) AND {_left(kx, y, e)} != {_left(kx, ky, e)})"
+    return f"({across} != {up})"
+
+
+def _meets(xa: str, ya: str, xb: str, yb: str) -> str:
+    """Whether an edge may have a point in a rectangle."""
+    corners = [_side(x, y, "") for x in (xa, xb) for y in (ya, yb)]
+    return (
+        f"(least(x1, x2) <= {xb} AND greatest(x1, x2) >= {xa} AND y1 <= {yb} AND y2 >= {ya} "
+        f"AND least({', '.join(corners)}) <= 0 AND greatest({', '.join(corners)}) >= 0)"
     )
-    extent = shapes.selectExpr("count(1)", "min(xmin)", "max(xmax)", "min(ymin)", "max(ymax)").first()
-    n, x0, x1, y0, y1 = extent
+
+
+def _edges(polygons: DataFrame, name_col: str, city: str) -> DataFrame:
+    """``shape, district, x1, y1, x2, y2``: edges of the named polygons, of equal polygons once."""
+    shapes = polygons.filter(F.lower(F.col(name_col)) != city).select(slug(name_col).alias("district"), "rings")
+    rows = shapes.dropDuplicates().select(F.xxhash64("district", "rings").alias("shape"), "district", F.explode(F.expr(EDGES)).alias("e"))
+    return rows.selectExpr("shape", "district", "e[0].x AS x1", "e[0].y AS y1", "e[1].x AS x2", "e[1].y AS y2")
+
+
+def build_layer(polygons: DataFrame, *, name_col: str = "name", city: str = CITY, edges_per_cell: int = EDGES_PER_CELL) -> DistrictLayer:
+    """Quadtree of a layer of ``name, rings`` polygons (``rings`` = array of [lon, lat] rings; holes and further parts are
+    just more rings). The polygon named as the whole city and polygons without a name drop out. The levels of the tree are
+    stored below the work folder; the driver learns their counts only."""
+    if name_col not in polygons.columns:
+        raise ValueError(f"Polygons have no column '{name_col}', only {polygons.columns}")
+    spark = polygons.sparkSession
+    folder = f"{work_folder(spark)}/layer-{uuid.uuid4().hex}"
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    edges = stored(_edges(polygons, name_col, city), "edges")
+    n, xa, xb, ya, yb = edges.selectExpr("count(1)", "min(least(x1, x2))", "max(greatest(x1, x2))", "min(y1)", "max(y2)").first()
     if not n:
         raise ValueError("The districts layer has no named polygon.")
-    side = min(MAX_GRID_SIDE, max(8, math.ceil(4 * math.sqrt(n))))
-    layer = DistrictLayer(polygons, 0, x0, y0, (x1 - x0) / side or 1.0, (y1 - y0) / side or 1.0)
-
-    # A ray from a cell meets edges in the rows of the cell that do not lie wholly to its left.
-    reachable = (
-        f"{layer.cell_y('least(e.y1, e.y2)')} <= cy AND {layer.cell_y('greatest(e.y1, e.y2)')} >= cy "
-        f"AND {layer.cell_x('greatest(e.x1, e.x2)')} >= cx"
-    )
-    cells = (
-        shapes.selectExpr(
-            "*", f"explode(sequence({layer.cell_x('xmin')}, {layer.cell_x('xmax')})) AS cx"
+    # A rim around the extent: the corner of the outermost cell lies outside all polygons.
+    rim_x, rim_y = ((b - a) * 1e-6 or 1e-6 for a, b in ((xa, xb), (ya, yb)))
+    x0, y0, width, height = xa - rim_x, ya - rim_y, xb - xa + 2 * rim_x, yb - ya + 2 * rim_y
+    most = max(edges_per_cell, n // MOST_PARTS)
+
+    # The children of a cell are numbered; the path from a child's corner leads to its parent's. The depth is a column,
+    # so that all levels run the same compiled code.
+    w, h = (f"({size!r}D / shiftleft(1L, depth))" for size in (width, height))
+    parts = ", ".join(f"struct({SPLIT} * ix + {i} AS ix, {SPLIT} * iy + {j} AS iy)" for i in range(SPLIT) for j in range(SPLIT))
+    child = [f"explode(array({parts})) AS c", "shape", "district"]
+    right, top = f"({x0!r}D + (c.ix + 1) * {w})", f"({y0!r}D + (c.iy + 1) * {h})"
+    far, high = f"({x0!r}D + {SPLIT} * (c.ix div {SPLIT} + 1) * {w})", f"({y0!r}D + {SPLIT} * (c.iy div {SPLIT} + 1) * {h})"
+    mx, my = f"{MARGIN * width!r}D", f"{MARGIN * height!r}D"
+    rectangle = f"({x0!r}D + c.ix * {w} - {mx})", f"({y0!r}D + c.iy * {h} - {my})", f"({right} + {mx})", f"({top} + {my})"
+
+    cell = ["ix", "iy"]
+    open_edges = edges.selectExpr("0L AS ix", "0L AS iy", "0 AS depth", "*")
+    open_refs = edges.selectExpr("0L AS ix", "0L AS iy", "0 AS depth", "shape", "district", "0 AS odd", "1L AS n").distinct()
+    leaves = [] if n > most else [(0, open_edges, open_refs)]
+    depth = 0
+    while n > most:
+        depth += SPLIT.bit_length() - 1
+        below = f"depth + {SPLIT.bit_length() - 1} AS depth"
+        cut = open_edges.selectExpr(*child, below, *ENDS).selectExpr(
+            "c.ix", "c.iy", "depth", "shape", "district", *ENDS,
+            f"cast({_crosses(right, top, far, high)} AS int) AS odd", f"{_meets(*rectangle)} AS here",
         )
-        .selectExpr("*", f"explode(sequence({layer.cell_y('ymin')}, {layer.cell_y('ymax')})) AS cy")
-        .selectExpr("cx", "cy", "district", *BOX, f"filter(edges, e -> {reachable}) AS edges")
-        .filter("size(edges) > 0")
-        .groupBy("cx", "cy")
-        .agg(
-            F.expr("sum(size(edges)) AS n_edges"),
-            F.expr(f"array_sort(collect_list(struct(district, {', '.join(BOX)}, edges))) AS candidates"),
+        inherited = open_refs.selectExpr(*child, below, "odd").selectExpr("c.ix", "c.iy", "depth", "shape", "district", "odd", "false AS here")
+        refs = (
+            cut.select(inherited.columns).unionByName(inherited)
+            .groupBy(*cell, "depth", "shape", "district")
+            .agg(F.expr("bit_xor(odd) AS odd"), F.count_if("here").alias("n"))
+            .filter("n > 0 OR odd = 1")
         )
-        .persist()
+        open_edges, open_refs = stored(cut.filter("here").drop("odd", "here"), f"edges-{depth}"), stored(refs, f"corners-{depth}")
+        full = open_refs.groupBy(cell).agg(F.sum("n").alias("held")).filter(F.col("held") > most).select(cell)
+        n_full = full.count() if depth < MAX_DEPTH else 0
+        if not n_full:
+            leaves.append((depth, open_edges, open_refs))
+            break
+        if n_full <= MAX_BROADCAST_CELLS:
+            full = F.broadcast(full)
+        leaves.append((depth, open_edges.join(full, cell, "left_anti"), open_refs.join(full, cell, "left_anti")))
+        open_edges, open_refs = open_edges.join(full, cell, "left_semi"), open_refs.join(full, cell, "left_semi")
+
+    cells = stored(reduce(DataFrame.unionByName, (
+        _candidates(*leaf, x0, y0, width, height) for leaf in leaves
+    )), "cells")
+    held, n_cells = cells.agg(F.coalesce(F.sum("n_edges"), F.lit(0)), F.count(F.lit(1))).first()
+    depths = tuple(r[0] for r in cells.select("_depth").distinct().orderBy("_depth").collect())
+    return DistrictLayer(cells.drop("n_edges"), held, n_cells, depths, x0, y0, width, height)
+
+
+def _candidates(depth: int, edges: DataFrame, refs: DataFrame, x0: float, y0: float, width: float, height: float) -> DataFrame:
+    """One row per cell: its polygons by name with their edges there. Of polygons that cover the whole cell the first by
+    name is enough. A cell's edges are bounded by the splitting, but where more meet in one point."""
+    side = 1 << depth
+    lines = edges.selectExpr("ix", "iy", "shape", "district", "0 AS odd", f"struct({', '.join(ENDS)}) AS edge")
+    corners = refs.filter("n > 0").selectExpr("ix", "iy", "shape", "district", "odd", "NULL AS edge")
+    cut = (
+        lines.unionByName(corners)
+        .groupBy("ix", "iy", "shape", "district")
+        .agg(F.expr("bit_xor(odd) = 1 AS odd"), F.collect_list("edge").alias("edges"))
+        .selectExpr("ix", "iy", "struct(district, odd, edges) AS candidate", "size(edges) AS n")
     )
-    edges = cells.agg(F.sum("n_edges")).first()[0] or 0
-    return DistrictLayer(
-        cells.drop("n_edges"), edges, layer.x0, layer.y0, layer.step_x, layer.step_y
+    kind = f"array<struct<{', '.join(f'{e}: double' for e in ENDS)}>>"
+    covers = refs.filter("n = 0").groupBy("ix", "iy").agg(F.min("district").alias("district"))
+    covers = covers.selectExpr("ix", "iy", f"struct(district, true AS odd, cast(array() AS {kind}) AS edges) AS candidate", "0 AS n")
+    return (
+        cut.unionByName(covers)
+        .groupBy("ix", "iy")
+        .agg(F.sum("n").alias("n_edges"), F.array_sort(F.collect_list("candidate")).alias("candidates"))
+        .selectExpr(
+            f"{depth} AS _depth", f"ix * {side} + iy AS _cell", f"{x0!r}D + (ix + 1) * {width / side!r}D AS kx",
+            f"{y0!r}D + (iy + 1) * {height / side!r}D AS ky", "candidates", "n_edges",
+        )
     )
 
 
 def _first_containing(x: str, y: str) -> str:
-    """SQL of the first candidate polygon around a point: even-odd ray casting inside the bounding
-    box; a point on the boundary is not inside."""
-    side = f"((e.x2 - e.x1) * ({y} - e.y1) - (e.y2 - e.y1) * ({x} - e.x1))"
-    crosses = f"((e.y1 > {y}) != (e.y2 > {y}) AND ({side} > 0) = (e.y2 > e.y1))"
+    """SQL of the first candidate polygon around a point; a point on the boundary is not inside."""
     touches = (
-        f"{side} = 0 AND {x} BETWEEN least(e.x1, e.x2) AND greatest(e.x1, e.x2) "
-        f"AND {y} BETWEEN least(e.y1, e.y2) AND greatest(e.y1, e.y2)"
+        f"{_side(x, y, 'e.')} = 0 AND {x} BETWEEN least(e.x1, e.x2) AND greatest(e.x1, e.x2) AND {y} BETWEEN e.y1 AND e.y2"
     )
-    return f"""get(filter(_candidates, p ->
-      {x} BETWEEN p.xmin AND p.xmax AND {y} BETWEEN p.ymin AND p.ymax
-      AND aggregate(p.edges, false, (odd, e) -> odd != {crosses})
+    return f"""get(filter(_leaf.candidates, p ->
+      aggregate(p.edges, p.odd, (odd, e) -> odd != {_crosses(x, y, '_leaf.kx', '_leaf.ky', 'e.')})
       AND NOT exists(p.edges, e -> {touches})), 0).district"""
 
 
@@ -132,17 +224,26 @@ def assign_district(
     if missing:
         raise ValueError(f"Missing required columns: {missing}")
     x, y = f"`{lon_col}`", f"`{lat_col}`"
-    points = df.drop(out_col).dropna(subset=[lat_col, lon_col]).withColumns(
-        {"_cx": F.expr(layer.cell_x(x)), "_cy": F.expr(layer.cell_y(y))}
-    )
-    cells = layer.cells.selectExpr("cx AS _cx", "cy AS _cy", "candidates AS _candidates")
-    keys = ["_cx", "_cy"]
+    points = df.drop(out_col).dropna(subset=[lat_col, lon_col])
+    leaf = F.struct("kx", "ky", "candidates").alias("_leaf")
     if layer.edges <= broadcast_edges:
-        cells = F.broadcast(cells)
+        cells = layer.cells.select("_depth", "_cell", leaf)
+        joined = _by_depth(points, layer, x, y, cells, "_leaf", True)
     else:
-        keys.append("_salt")
-        points = points.withColumn("_salt", F.expr(f"cast(pmod(xxhash64({x}, {y}), {SALTS}) AS int)"))
-        cells = cells.withColumn("_salt", F.expr(f"explode(sequence(0, {SALTS - 1}))"))
-    out = points.join(cells, keys, "left").withColumn(out_col, F.expr(_first_containing(x, y)))
-    out = out.drop(*keys, "_candidates")
+        keyed = layer.cells.select("_depth", "_cell", F.struct("_depth", "_cell").alias("_key"))
+        joined = _by_depth(points, layer, x, y, keyed, "_key", layer.n_cells <= MAX_BROADCAST_CELLS)
+        salt = F.expr(f"cast(pmod(xxhash64({x}, {y}), {SALTS}) AS int)")
+        salted = layer.cells.select(F.struct("_depth", "_cell").alias("_key"), leaf, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+        joined = joined.withColumn("_salt", salt).join(salted, ["_key", "_salt"], "left").drop("_key", "_salt")
+    out = joined.withColumn(out_col, F.expr(_first_containing(x, y))).drop("_leaf")
     return out if keep_outside else out.filter(F.col(out_col).isNotNull())
+
+
+def _by_depth(points: DataFrame, layer: DistrictLayer, x: str, y: str, cells: DataFrame, value: str, small: bool) -> DataFrame:
+    """Points with the value of the cell that holds them: one join for each depth that has cells."""
+    names = []
+    for depth in layer.depths:
+        names.append(f"{value}_{depth}")
+        level = cells.filter(F.col("_depth") == depth).select("_cell", F.col(value).alias(names[-1]))
+        points = points.withColumn("_cell", layer.cell(x, y, depth)).join(F.broadcast(level) if small else level, "_cell", "left")
+    return points.withColumn(value, F.coalesce(*names)).drop("_cell", *names)
