@@ -27,6 +27,9 @@ MOST_PARTS = 100_000
 SPLIT = 4
 # Cells are at most halved so often in each direction. More edges than the bound can only remain where they meet in a point.
 MAX_DEPTH = 20
+# Long edges side by side and piles of polygons enter ever more cells as these shrink. The splitting ends with the step that
+# makes more rows than so many times the layer's edges; cells then hold more edges, which costs time only.
+GROWTH = 16
 # The cell table is broadcast while it holds at most this many polygon edges (32 bytes each), its keys up to this number.
 MAX_BROADCAST_EDGES = 500_000
 MAX_BROADCAST_CELLS = 2_000_000
@@ -101,7 +104,9 @@ def _edges(polygons: DataFrame, name_col: str, city: str) -> DataFrame:
     return rows.selectExpr("shape", "district", "e[0].x AS x1", "e[0].y AS y1", "e[1].x AS x2", "e[1].y AS y2")
 
 
-def build_layer(polygons: DataFrame, *, name_col: str = "name", city: str = CITY, edges_per_cell: int = EDGES_PER_CELL) -> DistrictLayer:
+def build_layer(
+    polygons: DataFrame, *, name_col: str = "name", city: str = CITY, edges_per_cell: int = EDGES_PER_CELL, growth: float = GROWTH
+) -> DistrictLayer:
     """Quadtree of a layer of ``name, rings`` polygons (``rings`` = array of [lon, lat] rings; holes and further parts are
     just more rings). The polygon named as the whole city and polygons without a name drop out. The levels of the tree are
     stored below the work folder; the driver learns their counts only."""
@@ -154,7 +159,8 @@ def build_layer(polygons: DataFrame, *, name_col: str = "name", city: str = CITY
         )
         open_edges, open_refs = stored(cut.filter("here").drop("odd", "here"), f"edges-{depth}"), stored(refs, f"corners-{depth}")
         full = open_refs.groupBy(cell).agg(F.sum("n").alias("held")).filter(F.col("held") > most).select(cell)
-        n_full = full.count() if depth < MAX_DEPTH else 0
+        rows = open_edges.count() + open_refs.count()
+        n_full = full.count() if depth < MAX_DEPTH and rows <= growth * n else 0
         if not n_full:
             leaves.append((depth, open_edges, open_refs))
             break
@@ -173,7 +179,7 @@ def build_layer(polygons: DataFrame, *, name_col: str = "name", city: str = CITY
 
 def _candidates(depth: int, edges: DataFrame, refs: DataFrame, x0: float, y0: float, width: float, height: float) -> DataFrame:
     """One row per cell: its polygons by name with their edges there. Of polygons that cover the whole cell the first by
-    name is enough. A cell's edges are bounded by the splitting, but where more meet in one point."""
+    name is enough. A cell's edges are bounded by the splitting, but where more meet in one point or ``growth`` ended it."""
     side = 1 << depth
     lines = edges.selectExpr("ix", "iy", "shape", "district", "0 AS odd", f"struct({', '.join(ENDS)}) AS edge")
     corners = refs.filter("n > 0").selectExpr("ix", "iy", "shape", "district", "odd", "NULL AS edge")
