@@ -34,7 +34,7 @@ FILLER_EVERY, FILLER = 10, 128
 GROUP = 800
 # Rows, and bytes of text, that are taken at a time.
 SLICE, ENCODED = 500, 512 << 10
-# Units whose ids a Python worker remembers (some 150 bytes each).
+# Units whose ids a Python worker remembers (some 40 bytes each).
 REMEMBERED = 600_000
 
 # Classes of bytes: white space, letter, digit, other ASCII sign, beyond ASCII; then where to cut between two of them.
@@ -118,9 +118,9 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.index: dict[int, int] = {}
+        # Hashes in ascending order, where their ids begin and how many they are: numbers in arrays take a fraction of a dict.
+        self.known, self.starts, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
     def ids_of(self, texts: list[str]) -> list[list[int]]:
         """Ids of each unit. Lower-cased Latin letters need no rule but the byte alphabet, and go straight to the merges."""
@@ -138,32 +138,38 @@ class Encoder:
             found[i] = x.ids
         return found
 
-    def learn(self, hashes: list[int], texts: list[str]) -> None:
+    def learn(self, hashes: np.ndarray, texts: list[str]) -> None:
+        """Remember the ids of units that are not known yet; their hashes ascend."""
         if not texts:
             return
         found = self.ids_of(texts)
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        k, n, total = len(self.index), len(found), int(sizes.sum())
+        sizes = np.fromiter(map(len, found), np.int32, len(found))
+        total = int(sizes.sum())
         while self.used + total > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        while k + n > len(self.starts):
-            self.starts, self.sizes = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.sizes))
         self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
-        self.sizes[k : k + n] = sizes
-        self.starts[k : k + n] = self.used + np.cumsum(sizes) - sizes
-        self.index.update(zip(hashes, range(k, k + n), strict=True))
+        starts = self.used + np.cumsum(sizes, dtype=np.int64) - sizes
+        at = np.searchsorted(self.known, hashes) + np.arange(len(hashes))
+        old = np.ones(len(self.known) + len(hashes), bool)
+        old[at] = False
+        for name, new in (("known", hashes), ("starts", starts), ("sizes", sizes)):
+            merged = np.empty(len(old), new.dtype)
+            merged[at], merged[old] = new, getattr(self, name)
+            setattr(self, name, merged)
         self.used += total
 
     def encode(self, raws: list[bytes]) -> list[np.ndarray]:
         """Ids of each UTF-8 text."""
-        if len(self.index) > REMEMBERED or self.used > 8 * REMEMBERED:
+        if len(self.known) > REMEMBERED or self.used > 8 * REMEMBERED:
             self.forget()
         odd = {i: raw for i, raw in enumerate(raws) if self.special.search(raw)}
         buffer, begins, ends, hashes, offsets = words.units([b"" if i in odd else raw for i, raw in enumerate(raws)], _CLASS, _CUT)
         distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        new = [(h, i) for h, i in zip(distinct.tolist(), first.tolist(), strict=True) if h not in self.index]
-        self.learn([h for h, _ in new], [buffer[begins[i] : ends[i]].decode("utf-8", "replace") for _, i in new])
-        at = np.fromiter(map(self.index.__getitem__, distinct.tolist()), np.int64, len(distinct))[inverse]
+        new = np.ones(len(distinct), bool)
+        if len(self.known):
+            new = self.known[np.minimum(np.searchsorted(self.known, distinct), len(self.known) - 1)] != distinct
+        self.learn(distinct[new], [buffer[begins[i] : ends[i]].decode("utf-8", "replace") for i in first[new].tolist()])
+        at = np.searchsorted(self.known, distinct)[inverse]
         sizes = self.sizes[at]
         total = np.concatenate(([0], np.cumsum(sizes)))
         ids = self.flat[np.repeat(self.starts[at] - total[:-1], sizes) + np.arange(total[-1])]
