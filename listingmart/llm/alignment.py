@@ -20,7 +20,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from operator import add
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +31,8 @@ from pyspark.sql.window import Window
 from listingmart.llm.common import BROADCAST_ROWS, need, stored
 
 BATCH_CHARS = 1 << 20
-# Pairs whose text a Python worker remembers.
-REMEMBERED = 200_000
+# Links that a group lists; longer groups count their distinct ids.
+LISTED = 256
 # Beyond Latin letters two libraries may know different versions of Unicode, and very long white space is too deep for the
 # faster one's expressions; such texts go to the file's own library.
 _SLOW = re.compile("[^\0-ɏ]|\\s{1000}")
@@ -146,18 +146,20 @@ def segments(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int, int, i
     return found
 
 
-class Shown(dict):
-    """Text of a pair by its code, kept for pairs that were met before."""
+def spread(segments: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens on the left and on the right of every group, from the segments of a document."""
+    found = np.fromiter(chain.from_iterable(segments), np.int64, 4 * len(segments)).reshape(-1, 4)
+    n, m = found[:, 2], found[:, 3]
+    run = m == 0
+    times = np.where(run, n, 1)
+    return np.repeat(np.where(run, 1, n), times), np.repeat(np.where(run, 1, m), times)
 
-    def __init__(self, width: int) -> None:
-        super().__init__()
-        self.width = width
 
-    def __missing__(self, code: int) -> str:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        text = self[code] = f"{code // self.width}|{code % self.width}"
-        return text
+def decimals(n: int) -> np.ndarray:
+    """The digits of each number below ``n``, as eight bytes with zeros behind; the last one stays free for a sign."""
+    if n > 10**7:
+        raise ValueError("Ids have more than seven digits.")
+    return np.array([b"%d" % i for i in range(n)], "S8").view("<u8")
 
 
 class Aligner:
@@ -167,7 +169,7 @@ class Aligner:
         self.left, self.right = ByteLevel(left), Pieces(right)
         self.sizes = [np.array([len(x) for x in side.bytes], np.int64) for side in (self.left, self.right)]
         self.width = len(self.right.bytes)
-        self.shown = Shown(self.width)
+        self.digits = [decimals(len(side.bytes)) for side in (self.left, self.right)]
 
     def tokens(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids on both sides; none where the text is empty or either side does not give back its bytes.
@@ -191,34 +193,41 @@ class Aligner:
     def ends(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return self.sizes[0][a].cumsum(), self.sizes[1][b].cumsum()
 
-    def align(self, a: np.ndarray, b: np.ndarray) -> tuple[int, int, str, np.ndarray, np.ndarray]:
+    def align(self, a: np.ndarray, b: np.ndarray) -> tuple[int, int, bytes, np.ndarray, np.ndarray]:
         """Groups, links, the groups as text, and the distinct pairs (left id * right vocabulary + right id) with their number."""
-        scaled, right, one = (a * self.width).tolist(), b.tolist(), self.shown.__getitem__
-        shown, codes, groups, links = [], [], 0, 0
+        one, other = spread(segments(*self.ends(a, b)))
+        ends, others = one.cumsum(), other.cumsum()
+        links = one * other
+        # Most groups are one-to-one; of the others, short ones list their links.
+        single, short = links == 1, (links > 1) & (links <= LISTED)
+        x, y, m, held = (ends - one)[short], (others - other)[short], other[short], links[short]
+        k = np.arange(held.sum()) - np.repeat(held.cumsum() - held, held)
+        i, j = np.divmod(k, np.repeat(m, held))
+        scaled = a * self.width
+        codes = [scaled[ends[single] - 1] + b[others[single] - 1], scaled[np.repeat(x, held) + i] + b[np.repeat(y, held) + j]]
+        pairs, times = np.unique(np.concatenate(codes), return_counts=True)
         wide: list[tuple[np.ndarray, np.ndarray]] = []
-        for i, j, n, m in segments(*self.ends(a, b)):
-            if not m:
-                groups += n
-                links += n
-                own = list(map(add, scaled[i : i + n], right[j : j + n]))
-                codes += own
-                shown += map(one, own)
-                continue
-            groups += 1
-            links += n * m
-            shown.append(f"{','.join(map(str, a[i : i + n].tolist()))}|{','.join(map(str, right[j : j + m]))}")
-            if n * m <= 256:
-                codes += [x + y for x in scaled[i : i + n] for y in right[j : j + m]]
-            else:  # a long group repeats few ids: multiply their numbers instead of listing its links
-                (x, p), (y, q) = np.unique(a[i : i + n], return_counts=True), np.unique(b[j : j + m], return_counts=True)
-                wide.append(((x[:, None] * self.width + y).ravel(), (p[:, None] * q).ravel()))
-        pairs, times = np.unique(np.array(codes, np.int64), return_counts=True)
+        for g in np.flatnonzero(links > LISTED).tolist():  # a long group repeats few ids: multiply their numbers instead of listing its links
+            (x, p), (y, q) = (np.unique(ids[end - size : end], return_counts=True) for ids, end, size in ((a, ends[g], one[g]), (b, others[g], other[g])))
+            wide.append(((x[:, None] * self.width + y).ravel(), (p[:, None] * q).ravel()))
         if wide:
             pairs, place = np.unique(np.concatenate([pairs, *(c for c, _ in wide)]), return_inverse=True)
             total = np.zeros(len(pairs), np.int64)
             np.add.at(total, place, np.concatenate([times, *(t for _, t in wide)]))
             times = total
-        return groups, links, ";".join(shown), pairs, times
+        return len(one), int(links.sum()), self.text(a, b, one, other), pairs, times
+
+    def text(self, a: np.ndarray, b: np.ndarray, one: np.ndarray, other: np.ndarray) -> bytes:
+        """`a1,a2|b1;a3|b2,b3`: the ids of each group, of which `one` and `other` tell the sizes.
+
+        Every id is eight bytes, its digits and at the end the sign behind it; without the zeros between they are the text.
+        """
+        out = np.empty(len(a) + len(b), "<u8")
+        for ids, digits, own, before, sign in ((a, self.digits[0], one, other.cumsum() - other, b"|"), (b, self.digits[1], other, one.cumsum(), b";")):
+            signs = np.full(len(ids), ord(",") << 56, "<u8")
+            signs[own.cumsum() - 1] = ord(sign) << 56
+            out[np.arange(len(ids)) + np.repeat(before, own)] = digits[ids] | signs
+        return out.tobytes().translate(None, b"\0")[:-1]
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
@@ -295,9 +304,9 @@ def aligned(docs: DataFrame, left: str, right: str) -> DataFrame:
     def of(tool: Aligner, texts: list[str | None]) -> list[pa.Array]:
         counts, digests, pairs, times = [], [], [], []
         for a, b in tool.tokens(texts):
-            n_groups, n_links, shown, codes, number = tool.align(a, b) if len(a) else (0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64))
+            n_groups, n_links, shown, codes, number = tool.align(a, b) if len(a) else (0, 0, b"", np.zeros(0, np.int64), np.zeros(0, np.int64))
             counts.append((len(a), len(b), n_groups, n_links))
-            digests.append(hashlib.sha256(shown.encode()).hexdigest() if len(a) else "")
+            digests.append(hashlib.sha256(shown).hexdigest() if len(a) else "")
             pairs.append(codes)
             times.append(number)
         numbers = [pa.array(x, pa.int64()) for x in zip(*counts, strict=True)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -140,3 +141,25 @@ def test_ids_of_odd_texts():
         if len(a):
             assert a.tolist() == one.encode(" " + text, add_special_tokens=False).ids and b.tolist() == two.encode(text)
     assert sum(len(a) > 0 for a, _ in tool.tokens(texts)) > 2000
+
+
+def test_links_and_text_cost_little_beside_the_cuts():
+    tool, rng = alignment.aligner(LEFT, RIGHT), np.random.default_rng(4)
+    sizes = rng.integers(2, 7, 200_000)
+    a, b = (np.empty(len(sizes), np.int64) for _ in range(2))
+    for ids, own in zip((a, b), tool.sizes, strict=True):
+        for s in range(2, 7):
+            ids[sizes == s] = rng.choice(np.flatnonzero(own == s)[:900], (sizes == s).sum())
+
+    def least(call) -> float:
+        took = []
+        for _ in range(9):
+            begun = time.process_time()
+            call()
+            took.append(time.process_time() - begun)
+        return min(took)
+
+    groups, links, text, pairs, times = tool.align(a, b)
+    assert groups == links == times.sum() == len(a) and text == ";".join(f"{x}|{y}" for x, y in zip(a.tolist(), b.tolist(), strict=True)).encode()
+    assert set(pairs.tolist()) == set((a * tool.width + b).tolist())
+    assert least(lambda: tool.align(a, b)) < 2.6 * least(lambda: alignment.segments(*tool.ends(a, b)))
