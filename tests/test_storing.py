@@ -48,3 +48,19 @@ def test_words_and_cities_with_any_blanks(spark):
     cities = [(f"{b}Nowy{b}{b}Sącz{b}", "nowy sącz") for b in blanks] + [("ŁÓDŹ", "łódź"), ("", ""), (None, None)]
     df = spark.createDataFrame(cities, "c string, expected string")
     assert df.filter(~normalize_city("c").eqNullSafe(F.col("expected"))).count() == 0
+
+
+def test_what_a_task_sorts_does_not_follow_the_rows(spark, monkeypatch):
+    from listingmart.operators import dedup
+
+    monkeypatch.setattr(dedup, "TASK_ROWS", 500)
+    monkeypatch.setattr(dedup, "PART_ROWS", 1000)
+    most = []
+    for n in (20_000, 80_000):
+        df = spark.range(n).selectExpr("concat('l', id) AS listing_id", "concat('p', id) AS property_fingerprint", "add_months(DATE'2024-01-01', cast(id % 84 AS int)) AS month", "double(id % 3) AS price")
+        stored = deduplicate_within_month(df, by_month=True, rows=n)
+        most.append(stored.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0])
+        assert stored.count() == n
+    assert max(most) < 3000
+    rows = listings(spark)
+    assert sorted(map(str, deduplicate_within_month(rows, by_month=True, rows=2000).collect())) == sorted(map(str, deduplicate_within_month(rows).collect()))
