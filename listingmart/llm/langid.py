@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from listingmart.llm import samples
-from listingmart.llm.common import need
+from listingmart.llm.common import in_batches, need
 
 # Labelled documents of a language, and in all, that are used at most; and of a language even beyond that.
 PER_LANG, SAMPLE, LEAST = 600, 2000, 100
@@ -236,7 +236,7 @@ def model(docs: DataFrame, per_lang: int = PER_LANG, most: int = SAMPLE, least:
                     yield pa.RecordBatch.from_arrays([part.column("order"), part.column("label"), pa.array([whole] * len(found)), *lists], ["order", "label", "whole", "at", "share"])
 
     kind = rows.schema["label"].dataType.simpleString()
-    found = rows.mapInArrow(run, f"order long, label {kind}, whole boolean, at array<int>, share array<float>").toArrow()
+    found = in_batches(rows, run, f"order long, label {kind}, whole boolean, at array<int>, share array<float>").toArrow()
     found = found.sort_by([("whole", "descending"), ("order", "ascending")])
     at = [x.values.to_numpy().astype(np.uint16) for x in found.column("at")]
     return fit_shares(at, [x.values.to_numpy() for x in found.column("share")], found.column("label").to_pylist())
@@ -256,7 +256,7 @@ def identified(docs: DataFrame, fitted: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(lang, pa.string()), pa.array(score), pa.array(score < AMBIGUOUS)], ["doc_id", "held_out", "lang_pred", "score", "ambiguous"])
 
     flagged = docs.select("doc_id", samples.held_out(F.col("doc_id")).alias("held_out"), "text")
-    return flagged.mapInArrow(run, f"{ids}, held_out boolean, lang_pred string, score double, ambiguous boolean")
+    return in_batches(flagged, run, f"{ids}, held_out boolean, lang_pred string, score double, ambiguous boolean")
 
 
 def kept(docs: DataFrame, fitted: Model) -> DataFrame:
@@ -271,4 +271,4 @@ def kept(docs: DataFrame, fitted: Model) -> DataFrame:
                 lang, score = predict(shared.value, part.column(at).to_pylist())
                 yield part.filter(pa.array([x != UNKNOWN and s >= REJECTED for x, s in zip(lang, score.tolist(), strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs, run, docs.schema)

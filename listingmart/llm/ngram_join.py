@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from listingmart.llm import words
-from listingmart.llm.common import attach, need, stored
+from listingmart.llm.common import attach, in_batches, need, stored
 
 SHINGLE = 5
 NUM, DEN = 80, 100
@@ -104,7 +104,7 @@ def describe(docs: DataFrame, size: int) -> DataFrame:
         if held:
             yield repeated()
 
-    return docs.mapInArrow(run, schema)
+    return in_batches(docs, run, schema)
 
 
 def heaviest(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -155,7 +155,7 @@ def prefixes(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], size: int, n
                     parts.append(part)
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), _lists(chosen), _lists(parts)], ["set", "token", "part"])
 
-    arrays = docs.select("text").mapInArrow(run, "set bigint, token array<bigint>, part array<bigint>")
+    arrays = in_batches(docs.select("text"), run, "set bigint, token array<bigint>, part array<bigint>")
     return arrays.select("set", F.explode(F.arrays_zip("token", "part")).alias("x")).select("set", "x.token", "x.part")
 
 
@@ -171,7 +171,7 @@ def payloads(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], size: int, n
                 second = [t[_prefix(t, shared.value, 22, num, den)] for _, t in kept]
                 yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in kept], pa.int64()), _lists(second), _lists([t for _, t in kept])], ["set", "second", "tokens"])
 
-    return docs.select("text").mapInArrow(run, "set bigint, second array<bigint>, tokens array<bigint>")
+    return in_batches(docs.select("text"), run, "set bigint, second array<bigint>, tokens array<bigint>")
 
 
 def _sized(num: int, den: int) -> Column:
@@ -232,7 +232,7 @@ def with_sets(docs: DataFrame, size: int = SHINGLE, name: str = "set") -> DataFr
                 names = pa.array([_fingerprint(t) if len(t) else 0 for t in found], pa.int64())
                 yield pa.RecordBatch.from_arrays([*part.columns, names], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField(name, T.LongType())]))
+    return in_batches(docs, run, T.StructType([*docs.schema, T.StructField(name, T.LongType())]))
 
 
 def classified(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from listingmart.llm import words
-from listingmart.llm.common import need
+from listingmart.llm.common import in_batches, need
 
 CAPACITY = 4096
 END = 2
@@ -213,7 +213,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
                 )
 
     numbered = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
-    return numbered.mapInArrow(run, f"{kind}, row bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
+    return in_batches(numbered, run, f"{kind}, row bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
 
 
 def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
