@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from listingmart.llm import words
-from listingmart.llm.common import attach, in_batches, need, stored
+from listingmart.llm.common import attach, in_batches, need, side, stored
 
 SHINGLE = 5
 NUM, DEN = 80, 100
@@ -108,12 +108,13 @@ def describe(docs: DataFrame, size: int) -> DataFrame:
 
 
 def heaviest(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most repeated shingles, sorted, with the logarithm of their count (5 bits)."""
+    """The most repeated shingles, sorted, with the logarithm of their count (5 bits). They are chosen and stored by a task: collected
+    at once, every partition would send the driver its own candidates, as many as are wanted in all."""
     counts = described.filter(F.col("token").isNotNull()).groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= HEAVY_COUNT)
-    top = counts.orderBy(F.desc("n"), "token").limit(HEAVY).toPandas()
-    token = top["token"].to_numpy(np.int64).astype(np.uint64)
+    top = stored(counts.orderBy(F.desc("n"), "token").limit(HEAVY)).toArrow()
+    token = top.column("token").to_numpy().astype(np.uint64)
     order = np.argsort(token)
-    return token[order], np.minimum(63, np.log2(top["n"].to_numpy(np.float64)[order]).astype(np.int64))
+    return token[order], np.minimum(63, np.log2(top.column("n").to_numpy().astype(np.float64)[order]).astype(np.int64))
 
 
 class _New:
@@ -192,9 +193,9 @@ def _hopeful(shared: Column, large: Column, small: Column, num: int, den: int) -
 def compared(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of ``pairs`` (a, b, n_a, n_b) that pass the second filter and reach the similarity in full."""
     common = lambda c: F.size(F.array_intersect(f"{c}_a", f"{c}_b")).cast("bigint")
-    side = lambda c, x: sets.select(F.col("set").alias(x), F.col(c).alias(f"{c}_{x}"))
-    near = pairs.join(side("second", "a"), "a").join(side("second", "b"), "b").filter(_enough(common("second"), num, den)).select("a", "b", "n_a", "n_b")
-    full = near.join(side("tokens", "a"), "a").join(side("tokens", "b"), "b").withColumn("common", common("tokens"))
+    end = lambda c, x: sets.select(F.col("set").alias(x), F.col(c).alias(f"{c}_{x}"))
+    near = side(pairs).join(end("second", "a"), "a").join(end("second", "b"), "b").filter(_enough(common("second"), num, den)).select("a", "b", "n_a", "n_b")
+    full = near.join(end("tokens", "a"), "a").join(end("tokens", "b"), "b").withColumn("common", common("tokens"))
     return full.filter(F.expr(f"{den} * common >= {num} * (n_a + n_b - common)")).select("a", "b")
 
 
@@ -203,9 +204,10 @@ def components(links: DataFrame) -> DataFrame:
     both = stored(links.union(links.select("b", "a")).toDF("a", "b").distinct())
     labels = stored(both.groupBy(F.col("a").alias("set")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
     while True:
-        near = both.join(labels.select(F.col("set").alias("b"), "label"), "b").groupBy(F.col("a").alias("set")).agg(F.min("label").alias("near"))
-        least = labels.join(near, "set").select("set", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        jump = labels.select(F.col("set").alias("label"), F.col("label").alias("far"))
+        held = side(labels)
+        near = both.join(held.select(F.col("set").alias("b"), "label"), "b").groupBy(F.col("a").alias("set")).agg(F.min("label").alias("near"))
+        least = held.join(near, "set").select("set", F.least("label", "near").alias("label"), F.col("label").alias("old"))
+        jump = held.select(F.col("set").alias("label"), F.col("label").alias("far"))
         new = stored(least.join(jump, "label", "left").select("set", F.least("label", F.coalesce("far", "label")).alias("label"), "old"))
         changed = new.filter("label <> old").limit(1).count()
         labels = new.select("set", "label")
@@ -244,6 +246,7 @@ def classified(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den: int =
     rows = described.filter("token IS NULL").select("id", "n", "set")
     heavy = heaviest(described)
     classes = stored(rows.filter("n > 0").groupBy("set").agg(F.min("id").alias("least"), F.max("n").alias("n")))
+    sides = side(classes)
     nameless = bool(classes.filter("least IS NULL").limit(1).count())
 
     # Both uses of the spread rows read the same columns, so one exchange serves them. A heavy token lies in several parts.
@@ -259,7 +262,7 @@ def classified(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den: int =
 
     def fetched(pairs: DataFrame) -> DataFrame:
         """Payloads of the sets in pairs, from one document of each; of sets that no id leads to, from the rows without one."""
-        names = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct().join(classes, "set")
+        names = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct().join(sides, "set")
         ids = stored(names.filter("least IS NOT NULL").select(F.col("least").alias("id")).distinct())
         found = payloads(attach(docs, ids, ["id"], "left_semi", "id"), heavy, size, num, den)
         if nameless:
@@ -271,10 +274,10 @@ def classified(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den: int =
     heads = members.filter("part > 0").groupBy("token").agg(F.min("low").alias("a"))
     tops = members.filter("part > 0").select("token", F.col("low").alias("b")).distinct().join(heads, "token").select("a", "b")
     stars = members.select(F.col("low").alias("a"), F.col("set").alias("b")).union(tops).filter("a <> b").distinct()
-    side = lambda x: sets.select(F.col("set").alias(x), F.col("n").alias(f"n_{x}"), F.col("first").alias(f"first_{x}"))
+    first = lambda x: sets.select(F.col("set").alias(x), F.col("n").alias(f"n_{x}"), F.col("first").alias(f"first_{x}"))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        near = pairs.join(side("a"), "a").join(side("b"), "b").filter(_sized(num, den) & _enough(F.size(F.array_intersect("first_a", "first_b")), num, den))
+        near = pairs.join(first("a"), "a").join(first("b"), "b").filter(_sized(num, den) & _enough(F.size(F.array_intersect("first_a", "first_b")), num, den))
         able = stored(near.select("a", "b", "n_a", "n_b"))
         return stored(compared(able, fetched(able), num, den))
 
@@ -315,7 +318,7 @@ def classified(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den: int =
     new = linked(cross.select("a", "b").distinct())
     if new.limit(1).count():
         labels = components(links.union(new))
-    named = classes.join(labels, "set", "left").select("set", "least", F.coalesce("label", "set").alias("label"))
+    named = classes.join(side(labels), "set", "left").select("set", "least", F.coalesce("label", "set").alias("label"))
     names = named.groupBy("label").agg(F.min("least").alias("component_id"), F.min(F.when(F.col("least").isNotNull(), F.struct("least", "set")))["set"].alias("head"))
     linked = named.join(names, "label").filter("component_id IS NOT NULL").select("set", "component_id", "head")
     out = rows.join(linked, ["set"], "left")
